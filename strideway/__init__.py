@@ -1,0 +1 @@
+"""Street-coverage analytics on Spark DataFrames."""
