@@ -1,0 +1,323 @@
+"""Near duplicates: an inverted join on MinHash signature coordinates."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import comb
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strideway.llm.common import materialise
+from strideway.llm.components import connected_components
+from strideway.llm.hashing import U, buffers, chunks, mix, ngram_hashes, word_hashes
+
+#: Coordinates of a signature (a power of two: the coordinate's number takes
+#: the low bits of a token, the least hash value the rest).
+COORDINATES = 16
+#: Most documents of one block of a posting list; longer lists are split into
+#: blocks, and every pair of blocks is a group of its own.
+BLOCK = 256
+#: A token is frequent if it stands in this share of all signatures. There are
+#: COORDINATES / FREQUENT frequent tokens at most (16,000), which bounds the
+#: broadcast to 256 KB.
+FREQUENT = 1e-3
+#: A pair at the similarity threshold is lost with this probability at most.
+MISS = 1e-5
+
+_rng = np.random.default_rng(77)
+_XOR = _rng.integers(1, 1 << 63, COORDINATES, dtype=U)
+_MUL = _rng.integers(1, 1 << 63, COORDINATES, dtype=U) | U(1)
+_LAST = U(0xFFFFFFFFFFFFFFFF)
+
+
+def least_collisions(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
+    """The largest m so that a pair of similarity ``percent`` agrees on fewer
+    than m coordinates with a probability of ``miss`` at most."""
+    p, tail, m = percent / 100, 0.0, 0
+    while m < coordinates and (tail := tail + comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)) <= miss:
+        m += 1
+    return max(1, m)
+
+
+def shingle_sets(texts, n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct n-word shingle hashes of each text."""
+    data, offs = buffers(texts)
+    for _, _, part, at in chunks(data, offs):
+        grams, begin = ngram_hashes(*word_hashes(part, at), n)
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            yield np.unique(grams[a:b])
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Tokens of a non-empty shingle set: least value of each coordinate, and its number."""
+    out = np.empty(COORDINATES, U)
+    for a in range(0, len(hashes), 1 << 16):
+        z = (hashes[a : a + (1 << 16), None] ^ _XOR) * _MUL
+        z = ((z ^ (z >> U(32))) * U(0xD6E8FEB86659FD93)).min(axis=0)
+        out = np.minimum(out, z) if a else z
+    return (out & ~U(COORDINATES - 1)) | np.arange(COORDINATES, dtype=U)
+
+
+def digest(hashes: np.ndarray) -> bytes:
+    """Sixteen bytes that name a shingle set."""
+    return np.array([hashes.sum(dtype=U), mix(hashes).sum(dtype=U)], U).tobytes()
+
+
+def _sign(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, digests, tokens = [], [], []
+            for s in shingle_sets(batch.column(1), n):
+                counts.append(len(s))
+                digests.append(digest(s) if len(s) else None)
+                tokens.append(signature(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "digest", "tokens"])
+
+    return run
+
+
+def _order(tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Keys of the global token order: frequent tokens last, by frequency."""
+    if not len(hot):
+        return tokens >> U(1)
+    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+    return np.where(hot[at] == tokens, (U(1) << U(63)) + rank[at], tokens >> U(1))
+
+
+def _post(hot: np.ndarray, rank: np.ndarray, prefix: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            tokens = np.frombuffer(b"".join(f["tokens"]), U).reshape(-1, COORDINATES)
+            first = np.argsort(_order(tokens, hot, rank), axis=1)[:, :prefix]
+            yield pd.DataFrame({"token": np.take_along_axis(tokens, first, 1).ravel().view(np.int64), "digest": np.repeat(f["digest"].to_numpy(), prefix)})
+
+    return run
+
+
+def _matches(block: pd.DataFrame, hot: np.ndarray, rank: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """(x, y) positions in a block of the pairs that it has to confirm.
+
+    A pair counts its collisions over the whole signature, and belongs to its
+    first common token alone, so no pair is confirmed in two lists. Pairs
+    whose set sizes rule the similarity out are left.
+    """
+    tokens = np.frombuffer(b"".join(block["tokens"]), U).reshape(-1, COORDINATES)
+    size = block["n_shingles"].to_numpy()
+    key = _order(tokens, hot, rank)
+    here = _order(np.array([block["token"].iat[0]], np.int64).view(U), hot, rank)[0]
+    n = len(block)
+    count, first = np.zeros((n, n), np.uint8), np.full((n, n), _LAST)
+    for k in range(COORDINATES):
+        same = tokens[:, k, None] == tokens[None, :, k]
+        count += same
+        np.minimum(first, np.where(same, key[:, k, None], _LAST), out=first)
+    ok = (count >= least) & (first == here)
+    ok &= 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
+    if block["i"].iat[0] != block["j"].iat[0]:
+        side = block["side"].to_numpy()
+        ok &= side[:, None] < side
+    else:
+        ok = np.triu(ok, 1)
+    return np.argwhere(ok)
+
+
+def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of equal keys of a sorted partition, across its batches."""
+    held: list[pd.DataFrame] = []
+    for f in frames:
+        if not len(f):
+            continue
+        values = [f[k].to_numpy() for k in keys]
+        cut = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1
+        edges = [0, *cut.tolist(), len(f)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            part = f.iloc[a:b]
+            if a == 0 and held and all(held[-1][k].iat[0] == part[k].iat[0] for k in keys):
+                held.append(part)
+                continue
+            if held:
+                yield pd.concat(held) if len(held) > 1 else held[0]
+            held = [part]
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+_KEYS = ["token", "i", "j"]
+
+
+def _collide(hot: np.ndarray, rank: np.ndarray, least: int, percent: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready, rows = [], 0
+        for block in _groups(frames, _KEYS):
+            if len(block) < 2:
+                continue
+            pairs = _matches(block, hot, rank, least, percent)
+            if len(pairs):
+                ready.append(block.iloc[np.unique(pairs)])
+                rows += len(ready[-1])
+                if rows > 5000:
+                    yield pd.concat(ready)
+                    ready, rows = [], 0
+        if ready:
+            yield pd.concat(ready)
+
+    return run
+
+
+def _shared(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Size of the intersection of each pair of sets."""
+    if len(pairs) <= 2 * len(sets):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in pairs], np.int64)
+    # many pairs: one matrix product over the shingles that two sets or more have
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, where, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(many > 1) - 1
+    use = many[where] > 1
+    row, col = row[use], rank[where[use]]
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for a in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
+        lo, hi = np.searchsorted(col, [a, a + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[lo:hi], col[lo:hi] - a] = 1
+        out += m @ m.T
+    return out[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+
+
+def _forest(edges: list[tuple[int, int]]) -> pd.DataFrame:
+    """The same components with at most one edge a node."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for x, y in edges:
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return pd.DataFrame([(x, root(x)) for x in parent if root(x) != x], columns=["a", "b"], dtype=np.int64)
+
+
+def _confirm(hot: np.ndarray, rank: np.ndarray, least: int, percent: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges: list[tuple[int, int]] = []
+        for block in _groups(frames, _KEYS):
+            pairs = _matches(block, hot, rank, least, percent)
+            if not len(pairs):
+                continue
+            sets = [np.frombuffer(s, U) for s in block["shingles"]]
+            size, reps = block["n_shingles"].to_numpy(), block["rep"].to_numpy()
+            both = _shared(sets, pairs)
+            union = size[pairs[:, 0]] + size[pairs[:, 1]] - both
+            links = pairs[100 * both >= percent * union]
+            edges += zip(reps[links[:, 0]].tolist(), reps[links[:, 1]].tolist(), strict=True)
+            if len(edges) > 200_000:
+                yield _forest(edges)
+                edges = []
+        yield _forest(edges)
+
+    return run
+
+
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sets, total = [], [], 0
+            for s in shingle_sets(batch.column(0), n):
+                names.append(digest(s))
+                sets.append(s.tobytes())
+                total += len(sets[-1])
+                if total > 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
+                    names, sets, total = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents whose sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``percent`` or more are linked; component_id is the smallest
+    doc_id that can be reached over links and kept marks that document.
+    A text of fewer words is one shingle; a text without words, empty or null
+    is linked with nothing, and kept. Rows with a null id get n_shingles and a
+    null component and are kept. Rows that repeat an id are one document: a
+    link of any of their texts counts. No rows give no rows; other columns are
+    not read.
+
+    1. Each set is signed by the least hash of COORDINATES hash functions.
+       Equal sets are one representative from here on, so exact copies,
+       however many, are never compared.
+    2. A representative is posted under each (coordinate, value) token of its
+       prefix. Two signatures that agree on m coordinates share a token among
+       the first COORDINATES - m + 1 of any global order of tokens; frequent
+       tokens come last in it, so long lists are skipped where that loses
+       nothing. ``least_collisions`` sets m.
+    3. Lists of one document are dropped before signatures travel; lists over
+       BLOCK documents are split, each pair of blocks a group. A group counts
+       the collisions of its pairs and retains documents with a match.
+    4. Retained pairs are confirmed on full shingle sets, each pair in the
+       list of its first common token only.
+    5. Links become components in rounds of joins.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    signed = materialise(rows.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, digest binary, tokens binary"), "signed")
+    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest")
+    reps = materialise(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "reps")
+    least = least_collisions(percent)
+    hot, rank = frequent_tokens(reps)
+
+    posts = materialise(reps.select("digest", "tokens").mapInPandas(_post(hot, rank, COORDINATES - least + 1), "token long, digest binary"), "posts")
+    lists = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    places = posts.join(lists, "token").select("token", "digest", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    # block numbers do not depend on the order of the rows
+    own = F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int")
+    places = places.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    places = places.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "digest")
+    schema = "token long, i int, j int, side int, digest binary, rep long, n_shingles long, tokens binary"
+    blocks = places.join(reps, "digest").select("token", "i", "j", "side", "digest", "rep", "n_shingles", "tokens")
+    blocks = blocks.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
+    retained = materialise(blocks.mapInPandas(_collide(hot, rank, least, percent), schema), "retained")
+
+    involved = retained.select(F.col("rep").alias("doc_id")).distinct()
+    sets = rows.join(involved, "doc_id", "left_semi").select("text").mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
+    full = retained.join(sets, "digest").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
+    links = full.mapInPandas(_confirm(hot, rank, least, percent), "a long, b long")
+    reached = connected_components(links, "near").withColumnRenamed("node", "rep")
+
+    named = reps.join(reached, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = signed.join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def frequent_tokens(reps: DataFrame, share: float = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that stand in ``share`` of the signatures, in order, and their
+    ranks by frequency. There are COORDINATES / share of them at most."""
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"token": np.frombuffer(b"".join(f["tokens"]), np.int64)})
+
+    many = reps.select("tokens").mapInPandas(spread, "token long").groupBy("token").agg(F.count("*").alias("n"))
+    found = many.where(F.col("n") >= max(8, int(reps.count() * share))).collect()
+    found = sorted((r["n"], r["token"]) for r in found)
+    tokens = np.array([t for _, t in found], np.int64).view(U)
+    by = np.argsort(tokens)
+    return tokens[by], by.astype(U)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one document of each group."""
+    gone = near_duplicates(docs, id_col, text_col, shingle, percent).where("not kept").select(F.col("doc_id").alias(id_col))
+    return docs.join(gone, id_col, "left_anti")
