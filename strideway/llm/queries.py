@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import exact_dedup, mixing, near_dedup, sharding
+from strideway.llm import exact_dedup, mixing, near_dedup, sharding, suffix_dedup, token_count
+
+#: File name of the tokenizer whose tokens are counted.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -23,10 +27,21 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffix_dedup.repeated_spans(table(spark, sf_dir))
+    return spans.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_minhash_near_dedup, op3_source_mixing, op6_sharding)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_minhash_near_dedup, op3_source_mixing, op4_suffix_dedup, op5_token_counts, op6_sharding,
+)}
 
 ORACLE_SQL: dict[str, str] = {}
