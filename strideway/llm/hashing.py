@@ -87,16 +87,21 @@ class Prefix:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Letters and digits, where every byte of a non-ASCII character counts as one.
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[48:58] = IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
+
+
+def word_spans(data: np.ndarray, offs: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the first word of each text (with an end mark).
 
     A word is a longest run without space, tab, line feed, vertical tab, form
-    feed or carriage return, within one text.
+    feed or carriage return, within one text; or of the bytes ``within`` marks.
     """
     n = len(data)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~_IS_SPACE[data]
+    inside = ~_IS_SPACE[data] if within is None else within[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     before[offs[offs < n]] = False
@@ -107,9 +112,9 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word with A-Z lowered, and the first word of each text."""
-    starts, ends, first = word_spans(data, offs)
+    starts, ends, first = word_spans(data, offs, within)
     return mix(Prefix(data, fold=True).raw(starts, ends) + U(0x1D8E4E27C47D124F) * (ends - starts).astype(U)), first
 
 
