@@ -61,3 +61,22 @@ def utf8_size(text: Column) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Up to so many ids are broadcast (8 bytes each, so 8 MB); more are joined by
+#: a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _fits(ids: DataFrame) -> bool:
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is in ``ids`` (a written table, one column id_col)."""
+    return rows.join(F.broadcast(ids) if _fits(ids) else ids, id_col, "left_semi")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not in ``ids`` (a written table); null ids stay."""
+    return rows.join(F.broadcast(ids) if _fits(ids) else ids, id_col, "left_anti")

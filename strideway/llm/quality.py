@@ -253,6 +253,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the classifier does
-    not reject; rows with a null id stay."""
-    bad = quality_scores(docs, labels, id_col, text_col, threshold=threshold, **options).where("predicted = 0").select(F.col("doc_id").alias(id_col))
-    return docs.join(bad, id_col, "left_anti")
+    not reject. Rows are scored and dropped where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, **options))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(x) >= threshold for x in features(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.llm.common import materialise, text_or_empty, utf8_size
@@ -34,32 +34,35 @@ def communication_matrix(rows_per_bucket: list[int], shards: int, seed: int) ->
     return out
 
 
-def assign_shards(rows: DataFrame, id_col: str = "doc_id", shards: int = 40, seed: int = 11) -> DataFrame:
+def _hash(columns: list[str], seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *columns)
+
+
+def assign_shards(rows: DataFrame, shards: int = 40, seed: int = 11) -> DataFrame:
     """``rows`` plus shard (int) and slot (long, gapless from 0 in each shard).
 
-    Shard sizes differ by one row at most. A bucket is a hash of the id, not a
+    Shard sizes differ by one row at most. A bucket is a hash of the row, not a
     physical partition, so a task that runs again after a loss repeats its
-    result. ``rows`` should be cheap to read twice (a written table). Rows that
-    repeat an id are told apart by all their columns; fully equal rows get
-    different slots. Null ids share one bucket. No rows give no rows.
+    result. ``rows`` should be narrow and cheap to read twice (a written
+    table). Fully equal rows get different slots, in any order. No rows give no
+    rows.
     """
     spark = rows.sparkSession
     columns = rows.columns
     total = rows.count()
     buckets = int(min(MOST_BUCKETS, max(1, -(-total // BUCKET_ROWS), spark.sparkContext.defaultParallelism)))
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets)).cast("int"))
+    dealt = rows.withColumn("_bucket", F.pmod(_hash(columns, seed), F.lit(buckets)).cast("int"))
     counts = {r["_bucket"]: r["n"] for r in dealt.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}  # at most MOST_BUCKETS rows
     sizes = [counts.get(k, 0) for k in range(buckets)]
     ends = communication_matrix(sizes, shards, seed).cumsum(axis=1)
     matrix = spark.createDataFrame([(k, row) for k, row in enumerate(ends.tolist())], "_bucket int, _ends array<bigint>")
-    ties = [F.xxhash64(F.lit(seed + 1), F.col(id_col)), *[F.col(c) for c in columns]]
-    local = Window.partitionBy("_bucket").orderBy(*ties)
+    local = Window.partitionBy("_bucket").orderBy(_hash(columns, seed + 1), *columns)
     sent = (
         dealt.withColumn("_rank", F.row_number().over(local))
         .join(F.broadcast(matrix), "_bucket")
         # the shard is the first one whose running count reaches the rank
         .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))).cast("int"))
-        .withColumn("_part", F.pmod(F.xxhash64(F.lit(seed + 2), F.col(id_col)), F.lit(max(1, buckets // shards * 2))).cast("int"))
+        .withColumn("_part", F.pmod(_hash(columns, seed + 2), F.lit(max(1, buckets // shards * 2))).cast("int"))
         .select(*columns, "shard", "_part")
     )
     sent = materialise(sent, "shards")
@@ -67,7 +70,7 @@ def assign_shards(rows: DataFrame, id_col: str = "doc_id", shards: int = 40, see
     parts = sent.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    again = Window.partitionBy("shard", "_part").orderBy(F.xxhash64(F.lit(seed + 3), F.col(id_col)), *[F.col(c) for c in columns])
+    again = Window.partitionBy("shard", "_part").orderBy(_hash(columns, seed + 3), *columns)
     # at most shards x MOST_BUCKETS / 20 rows
     return (
         sent.withColumn("_at", F.row_number().over(again))
@@ -85,26 +88,30 @@ def shard_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = text_or_empty(text_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), (utf8_size(text) + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = assign_shards(materialise(narrow, "sizes"), "doc_id", shards, seed)
+    placed = assign_shards(materialise(narrow, "sizes"), shards, seed)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", shards: int = 40, seed: int = 11) -> DataFrame:
     """``docs`` with all its columns plus shard and slot.
 
-    Only ids travel through the two permutations; the texts are joined back
-    by id. Rows that repeat an id share the places of that id in any order.
-    A column of docs named shard or slot is replaced.
+    Only two numbers a row travel through the two permutations: a hash of the
+    id, and the row's number among the rows of that hash. They find the texts
+    again in one join. Rows that repeat an id are numbered by the rest of the
+    row; fully equal rows are interchangeable. A column of docs named shard or
+    slot is replaced.
     """
     docs = docs.drop("shard", "slot")
     columns = docs.columns
-    # copies of one id are numbered, so that each gets one place
-    copy = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(c) for c in columns]))
-    numbered = docs.withColumn("_copy", F.row_number().over(copy))
-    ids = materialise(numbered.select(F.col(id_col).alias("_id"), "_copy"), "ids")
-    placed = assign_shards(ids, "_id", shards, seed)
-    match = numbered[id_col].eqNullSafe(placed["_id"]) & (numbered["_copy"] == placed["_copy"])
-    return numbered.join(placed, match).select(*[numbered[c] for c in columns], "shard", "slot")
+    names = [f"c{k}" for k in range(len(columns))]
+    plain = docs.toDF(*names)
+    row = F.xxhash64(*names)
+    keyed = plain.withColumn("_key", F.xxhash64(names[columns.index(id_col)]))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_row"))
+    narrow = materialise(keyed.select("_key", row.alias("_row")), "rows").withColumn("_copy", number).select("_key", "_copy")
+    placed = assign_shards(materialise(narrow, "ids"), shards, seed)
+    numbered = keyed.withColumn("_row", row).withColumn("_copy", number)
+    return numbered.join(placed, ["_key", "_copy"]).select(*names, "shard", "slot").toDF(*columns, "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideway.llm.common import materialise
+from strideway.llm.common import materialise, only_ids
 from strideway.llm.hashing import CHUNK_BYTES, Prefix, U, buffers, chunks, mix
 
 #: Bytes of the first rank; the sampled position carries it.
@@ -19,9 +19,6 @@ FIRST = 32
 PIECE_BITS = 20
 #: Contexts of one first rank that are compared in one task; more are dealt.
 GROUP = 20_000
-#: Up to so many ids are broadcast (8 bytes each) to find the texts that are
-#: read again; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def sampled(part: np.ndarray, offs: np.ndarray, length: int, first: int) -> tuple[np.ndarray, ...]:
@@ -305,10 +302,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     deals = F.ceil(F.col("contexts") / F.lit(GROUP)).cast("int")
     wanted = open_.select("doc", F.struct("rank", F.pmod(F.xxhash64("doc", "at"), deals).cast("int").alias("deal"), (deals > 1).alias("dealt"), "at", "lo", "hi").alias("w"))
     wanted = wanted.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("w").alias("wanted"))
-    again = clear
-    ids = open_.select(F.col("doc").alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        again = again.join(F.broadcast(ids), "doc_id", "left_semi")
+    ids = materialise(open_.select(F.col("doc").alias("doc_id")).distinct(), "open")
+    again = only_ids(clear, ids, "doc_id")
     contexts = again.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut(length), _CONTEXTS)
     contexts = contexts.repartition("rank", "deal").sortWithinPartitions("rank", "deal")
     windows = materialise(contexts.mapInArrow(_second_ranks(length), _WINDOWS), "windows")
@@ -319,3 +314,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats = settled.where("repeat").select("doc", "lo", "hi").unionByName(windows.where("settled").select("doc", "lo", "hi")).unionByName(late)
     by_doc = repeats.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_apply(length), _SPANS)
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+    """(doc_id, text): each text without its repeated strings. A character that
+    loses some of its bytes goes as a whole."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, starts, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                raw = (text or "").encode()
+                kept = b"".join(raw[a:b] for a, b in zip([0, *(ends or [])], [*(starts or []), len(raw)], strict=True))
+                out.append(kept.decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+
+    spans = repeated_spans(docs, id_col, text_col, length).where("n_removed > 0").select("doc_id", "starts", "ends").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "starts", "ends").mapInArrow(cut, "doc_id long, text string")
