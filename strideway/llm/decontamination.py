@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ PASS_BYTES = 8 << 20
 
 
 def _words(text_column) -> Iterator[np.ndarray]:
-    data, offs = buffers(text_column)
+    data, offs = buffers(pc.utf8_lower(text_column))
     for _, _, part, at in chunks(data, offs):
         words, first = word_hashes(part, at, IS_LETTER)
         for a, b in zip(first[:-1], first[1:], strict=True):
@@ -43,7 +44,7 @@ def word_shares(texts: DataFrame, wanted: np.ndarray) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, total = np.zeros(len(wanted), np.int64), 0
         for batch in batches:
-            data, offs = buffers(batch.column(0))
+            data, offs = buffers(pc.utf8_lower(batch.column(0)))
             for _, _, part, at in chunks(data, offs):
                 words, _ = word_hashes(part, at, IS_LETTER)
                 total += len(words)
@@ -157,11 +158,25 @@ def matches(words: np.ndarray, seeds: Seeds, least: float) -> Iterator[tuple[int
             yield seeds.ids[owner[a]], *best
 
 
+def seed_tables(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id") -> Iterator:
+    """Broadcast seeds of the benchmark, in passes of about PASS_BYTES."""
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col("text").isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = -(-size // PASS_BYTES) or 1
+    for k in range(passes):
+        part = sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect())  # about PASS_BYTES
+        words = list(_words(pa.array([t for _, t in part], pa.string())))
+        wanted = np.unique(np.concatenate(words)) if words else np.empty(0, U)
+        if len(wanted):
+            seeds = Seeds([(i, w) for (i, _), w in zip(part, words, strict=True)], wanted, word_shares(texts.select("text"), wanted))
+            yield texts.sparkSession.sparkContext.broadcast(seeds)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", least: float = SCORE) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): each benchmark item that
     a document holds a whole, edited or paraphrased copy of.
 
-    Words are runs of letters and digits with A-Z lowered. Every rare SEED-word
+    Words are runs of letters and digits in lower case. Every rare SEED-word
     sequence of an item is looked up at every position of every text; the
     words around a hit are aligned with the item, and the best alignment counts
     if its score is ``least`` of an unchanged copy's or more. Rarity is the
@@ -179,20 +194,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col("text").isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = -(-size // PASS_BYTES) or 1
     schema = "doc_id long, item_id long, score double, start_word int, end_word int"
     out = spark.createDataFrame([], schema)
-    for k in range(passes):
-        part = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]  # about PASS_BYTES
-        part.sort()
-        words = list(_words(pa.array([t for _, t in part], pa.string())))
-        wanted = np.unique(np.concatenate(words)) if words else np.empty(0, U)
-        if not len(wanted):
-            continue
-        seeds = Seeds([(i, w) for (i, _), w in zip(part, words, strict=True)], wanted, word_shares(texts.select("text"), wanted))
-        shared = spark.sparkContext.broadcast(seeds)
+    for shared in seed_tables(texts, benchmark, item_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -206,7 +210,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.score", "m.start_word", "m.end_word")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    found = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", least: float = SCORE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark item;
+    they are dropped where they are read."""
+    at = docs.columns.index(text_col)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    out = docs
+    for shared in seed_tables(texts, benchmark, item_col):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [next(matches(w, shared.value, least), None) is None for w in _words(batch.column(at))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
