@@ -1,0 +1,178 @@
+"""Licence notices by MinHash bands over text windows, then containment."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strideway.llm.hashing import IS_LETTER, U, buffers, chunks, mix, ngram_hashes, word_hashes
+
+#: Words of a shingle, and the share of a notice's shingles that a window must hold.
+SHINGLE, CONTAINED = 5, 0.8
+#: Bands of one row each. A window holds under 2 * sqrt(2) + 1 times the
+#: shingles of a notice, so a notice of which 0.8 are there has a similarity of
+#: 0.2 or more with it, and shares a band with a probability of 1 - 0.8**64 >
+#: 1 - 1e-6.
+BANDS = 64
+
+_rng = np.random.default_rng(31)
+_XOR = _rng.integers(1, 1 << 63, BANDS, dtype=U)
+_MUL = _rng.integers(1, 1 << 63, BANDS, dtype=U) | U(1)
+
+# Public licence notices.
+TEMPLATES = {
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "Apache-2.0 notice": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+        'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+        "either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    ),
+    "MIT": "Released under the MIT License",
+    "MIT licensed": "Licensed under the MIT License",
+    "MIT text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software."
+    ),
+    "BSD-3-Clause text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution."
+    ),
+    "ISC text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies."
+    ),
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "GPL-2.0-or-later notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "GPL-3.0-or-later notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "CC-BY-4.0": "Licensed under CC BY 4.0",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-NC-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "All rights reserved": "Copyright. All rights reserved. No part of this publication may be reproduced",
+}
+
+
+def _minima(shingles: np.ndarray) -> np.ndarray:
+    z = (shingles[:, None] ^ _XOR) * _MUL
+    return ((z ^ (z >> U(32))) * U(0xD6E8FEB86659FD93)).min(axis=0)
+
+
+class Templates:
+    """Shingles of the notices, their band values, and the window lengths."""
+
+    def __init__(self, texts: dict[str, str]):
+        self.names, self.sets = [], []
+        for name, text in texts.items():
+            data, offs = buffers(pa.array([text]))
+            words, first = word_hashes(data, offs, IS_LETTER)
+            # a notice of fewer words could not be told from chance
+            if len(words) >= SHINGLE:
+                grams, _ = ngram_hashes(words, first, SHINGLE)
+                self.names.append(name)
+                self.sets.append(np.unique(grams))
+        self.runs = np.array([len(s) for s in self.sets], np.int64)
+        bands = np.array([_minima(s) for s in self.sets]) if self.sets else np.empty((0, BANDS), U)
+        # window steps: each notice goes with the next power of sqrt(2)
+        grid = np.unique(np.ceil(2 ** (np.arange(60) / 2)).astype(np.int64))
+        self.step = grid[np.searchsorted(grid, self.runs)]
+        self.by_step = {}
+        for step in np.unique(self.step):
+            mine = np.flatnonzero(self.step == step)
+            self.by_step[int(step)] = [(np.sort(bands[mine, k]), mine[np.argsort(bands[mine, k], kind="stable")]) for k in range(BANDS)]
+
+    def scan(self, grams: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, notice, containment, first, last+1 shingle of the window)."""
+        if not len(grams):
+            return
+        for step, tables in self.by_step.items():
+            # blocks of ``step`` shingles; a window is two neighbours, so any run
+            # of ``step`` shingles lies within one window
+            per_text = -(-np.diff(begin) // step)
+            block_of = np.zeros(len(begin), np.int64)
+            np.cumsum(per_text, out=block_of[1:])
+            text = np.repeat(np.arange(len(per_text)), per_text)
+            at = begin[:-1][text] + (np.arange(block_of[-1]) - block_of[:-1][text]) * step
+            last = np.append(text[1:] != text[:-1], True)
+            pairs = set()
+            for k, (values, owner) in enumerate(tables):
+                z = (grams ^ _XOR[k]) * _MUL[k]
+                low = np.minimum.reduceat((z ^ (z >> U(32))) * U(0xD6E8FEB86659FD93), at)
+                low = np.where(last, low, np.minimum(low, np.append(low[1:], low[-1:])))
+                lo = np.searchsorted(values, low, "left")
+                for w in np.flatnonzero((lo < len(values)) & (values[np.minimum(lo, len(values) - 1)] == low)):
+                    for x in range(lo[w], np.searchsorted(values, low[w], "right")):
+                        pairs.add((int(w), int(owner[x])))
+            for w, t in sorted(pairs):
+                a, b = int(at[w]), int(min(at[w] + 2 * step, begin[text[w] + 1]))
+                share = np.isin(self.sets[t], grams[a:b]).mean()
+                if share >= CONTAINED:
+                    yield int(text[w]), t, float(share), a - int(begin[text[w]]), b - int(begin[text[w]])
+
+
+def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, license, containment, start_word, end_word): each notice of which
+    a window of a document holds CONTAINED of the five-word shingles or more.
+
+    Words are runs of letters and digits with A-Z lowered. Windows of two steps
+    overlap by one step; a notice's step is the next power of sqrt(2) from its
+    number of shingles on, so each run of words that could be the notice lies
+    whole in a window. MinHash bands retrieve the notices of a window, exact
+    containment confirms them. The best window of a document and notice is
+    returned, the first of equals. Whole texts are scanned, and not shuffled.
+
+    Notices of under five words are never found, nor are they in texts of under
+    five words; null and empty texts hold none. Rows that repeat an id count as
+    one; a null id is an id. No rows give no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
+    kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+    names = ["doc_id", "license", "containment", "start_word", "end_word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            data, offs = buffers(batch.column(1))
+            rows = []
+            for a, _, part, at in chunks(data, offs):
+                words, first = word_hashes(part, at, IS_LETTER)
+                grams, begin = ngram_hashes(words, first, SHINGLE)
+                best: dict[tuple[int, int], tuple[float, int, int]] = {}
+                for text, t, share, x, y in known.scan(grams, begin):
+                    old = best.get((text, t))
+                    if old is None or (share, -x) > (old[0], -old[1]):
+                        best[text, t] = share, x, y
+                rows += [(ids[a + text], known.names[t], share, x, y + SHINGLE - 1) for (text, t), (share, x, y) in best.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = read.mapInArrow(run, "doc_id long, license string, containment double, start_word int, end_word int")
+    best = F.max_by(F.struct("containment", "start_word", "end_word"), F.struct("containment", -F.col("start_word"))).alias("m")
+    return found.groupBy("doc_id", "license").agg(best).select("doc_id", "license", "m.containment", "m.start_word", "m.end_word")

@@ -1,0 +1,289 @@
+"""Personal data by weak supervision. DataFrame functions only.
+
+Labelers vote on candidate spans; expectation maximisation estimates how far
+each can be trusted, and a classifier trained on its beliefs decides.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from strideway.llm.common import materialise, text_or_empty
+
+KINDS = ("email", "ip", "card", "phone")
+MORE_KINDS = (*KINDS, "name", "ssn")
+#: A candidate is added from this belief on.
+CERTAIN = 0.9
+
+# The base patterns. Possessive repeats and a look-behind that
+# only starts a match at the head of a run (or where the last match ended) find
+# the same matches in linear time and without deep recursion.
+BASE = {
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
+    "card": r"[0-9](?:[ -]?[0-9])++",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+}
+#: What a text must hold for a pattern to be worth a look.
+GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]+\.", "card": r"[0-9](?:[ -]?[0-9]){13}", "phone": r"\+[0-9]"}
+
+#: Wider patterns, of bounded length, whose matches the labelers judge.
+CANDIDATES = {
+    "number": r"(?<![0-9A-Za-z.@+(-])[(+]?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])",
+    "written": r"(?i)[a-z0-9_+-]{1,64}+(?:\.[a-z0-9_+-]{1,64}+){0,3} ?(?:[\[({]at[\])}]| at ) ?[a-z0-9-]{1,63}(?: ?(?:[\[({]dot[\])}]| dot ) ?[a-z0-9-]{2,63}){1,4}",
+    "titled": r"(?<![A-Za-z])(?:Mrs|Mr|Ms|Dr|Prof)\. [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?",
+}
+CANDIDATE_GUARD = {
+    "number": r"[0-9](?:[ ().-]{0,2}[0-9]){6}",
+    "written": r"(?i)[\[({]dot[\])}]| dot ",
+    "titled": r"(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z]",
+}
+
+# Gazetteers.
+DOMAINS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "eu", "us"]
+NAMES = ["james", "mary", "john", "patricia", "robert", "jennifer", "michael", "linda", "david", "maria", "anna", "peter", "thomas", "laura", "carlos", "marie", "hans", "jean", "jose", "sofia"]
+AREA_CODES = ["1", "33", "34", "44", "49", "39", "31", "41", "43", "32", "45", "46", "47", "48", "7", "81", "86", "91", "61", "55", "52"]
+
+#: Words before a span that speak for a kind, and words that speak against any.
+CUES = {
+    "email": r"(?i)e-?mail|contact|write to|reach",
+    "ip": r"(?i)\bip\b|host|server|address|login",
+    "card": r"(?i)card|visa|mastercard|amex|credit|debit",
+    "phone": r"(?i)phone|\btel\b|call|mobile|fax|whatsapp|\bcell\b",
+    "name": r"(?i)name|contact|dear|signed|patient|by",
+    "ssn": r"(?i)ssn|social security|tax id",
+}
+AGAINST = r"(?i)isbn|issn|doi|version|\bv\.?$|order|invoice|serial|page|figure|build|[#$€£]\s?$|=\s?$"
+UNITS = r"^\s?(?:%|kg|km|mm|cm|usd|eur|ms\b|mb\b|gb\b|px\b)"
+
+LABELERS = ("shape", "gazetteer", "context", "surroundings")
+
+
+def _running(lengths: Column) -> Column:
+    """Sums of the entries up to each one, in blocks so that long arrays cost
+    little more than short ones."""
+    block = 128
+    sums = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / block))), lambda b: F.aggregate(F.slice(lengths, (b * block + 1).cast("int"), F.lit(block)), F.lit(0), lambda s, x: s + x))
+    before = F.aggregate(sums, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+    def upto(x: Column, i: Column) -> Column:
+        head = F.floor(i / block).cast("int")
+        return F.get(before, head) + F.aggregate(F.slice(lengths, head * block + 1, i - head * block + 1), F.lit(0), lambda s, y: s + y)
+
+    return F.transform(lengths, upto)
+
+
+def matches(text: Column, pattern: str, guard: str) -> Column:
+    """array<struct<start, end, found>> of all matches, in characters.
+
+    The pieces between matches and the matches themselves, laid end to end,
+    are the text; so their lengths give every position.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.split(text, pattern, -1)
+    steps = F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+    spans = F.transform(F.arrays_zip(_running(steps).alias("end"), found.alias("found")), lambda z: F.struct((z["end"] - F.length(z["found"])).alias("start"), z["end"].alias("end"), z["found"].alias("found")))
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    has = F.contains(text, F.lit(guard)) if len(guard) == 1 else text.rlike(guard)
+    return F.when(has, F.when(F.size(found) > 0, spans).otherwise(none)).otherwise(none)
+
+
+def digits(found: Column) -> Column:
+    return F.regexp_replace(found, "[^0-9]", "")
+
+
+def luhn(number: Column) -> Column:
+    """Whether the digits pass the check sum: from the right, every second
+    digit counts double, less 9 if over 9."""
+    doubled = F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)])
+
+    def add(total: Column, i: Column) -> Column:
+        digit = F.substr(number, -i, F.lit(1)).cast("int")
+        return total + F.when(i % 2 == 0, F.get(doubled, digit)).otherwise(digit)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(number)), F.lit(0), add) % 10 == 0
+
+
+def valid(kind: str, found: Column) -> Column:
+    if kind == "ip":
+        return found.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.(?!$)|$)){4}$")
+    if kind == "card":
+        number = digits(found)
+        return F.when(F.length(number).between(14, 19), luhn(number)).otherwise(False)
+    if kind == "phone":
+        return F.length(digits(found)).between(10, 15)
+    return F.lit(True)
+
+
+def _base(no: int, text: Column) -> Column:
+    kind = KINDS[no]
+    kept = F.filter(matches(text, BASE[kind], GUARD[kind]), lambda m: valid(kind, m["found"]))
+    return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end")))
+
+
+def base_spans(text: Column) -> Column:
+    """array<struct<start, kind_no, end>> of the base matches that are valid, sorted."""
+    return F.array_sort(F.concat(*[_base(no, text) for no in range(len(KINDS))]))
+
+
+def _vote(plus: Column, minus: Column) -> Column:
+    return F.when(plus, 1).when(minus, -1).otherwise(0)
+
+
+def candidate_spans(text: Column) -> Column:
+    """Candidates with their kind, the four votes and the features."""
+
+    def judge(family: str, m: Column) -> Column:
+        found = m["found"]
+        number = digits(found)
+        n = F.length(number)
+        if family == "number":
+            is_ip = found.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
+            is_ssn = found.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
+            kind = F.when(is_ip, MORE_KINDS.index("ip")).when(is_ssn, MORE_KINDS.index("ssn")).when(n >= 14, MORE_KINDS.index("card")).otherwise(MORE_KINDS.index("phone"))
+            grouped = found.rlike(r"[0-9][ ().-]+[0-9]")
+            shape = F.when(is_ip, _vote(valid("ip", found), F.lit(True))).when(is_ssn, _vote(~found.rlike("^(?:000|666|9)"), F.lit(True))).when(n >= 14, _vote(F.when(n >= 14, luhn(number)), F.lit(True)))
+            shape = shape.otherwise(_vote(found.rlike(r"^(?:\+|\()") & (n >= 9) | found.rlike(r"^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), ~grouped))
+            prefix = F.substr(number, F.lit(1), F.lit(2))
+            known = F.when(is_ip, _vote(~found.rlike(r"^(?:0|127|255)\."), F.lit(True))).when(n >= 14, _vote(number.rlike(r"^(?:4|5[1-5]|3[47]|6011|65)"), F.lit(True)))
+            known = known.otherwise(_vote(found.startswith("+") & (prefix.isin(AREA_CODES) | F.substr(number, F.lit(1), F.lit(1)).isin(AREA_CODES)), F.lit(False)))
+        elif family == "written":
+            kind, grouped = F.lit(MORE_KINDS.index("email")), F.lit(False)
+            shape = _vote(found.rlike(r"[\[({]"), F.lit(False))
+            known = _vote(F.lower(F.regexp_extract(found, r"([A-Za-z0-9-]+)$", 1)).isin(DOMAINS), F.lit(True))
+        else:
+            kind, grouped = F.lit(MORE_KINDS.index("name")), F.lit(False)
+            shape = _vote(found.rlike(r"\. [A-Z][a-z]+ [A-Z][a-z]+$"), F.lit(False))
+            known = _vote(F.lower(F.regexp_extract(found, r"\. ([A-Za-z]+)", 1)).isin(NAMES), F.lit(False))
+        before = F.substr(text, F.greatest(F.lit(1), m["start"] - 39), F.least(F.lit(40), m["start"]))
+        after = F.substr(text, m["end"] + 1, F.lit(6))
+        cue = F.lit(False)
+        for k, name in enumerate(MORE_KINDS):
+            cue = cue | ((kind == k) & before.rlike(CUES[name]))
+        return F.struct(
+            m["start"].alias("start"), kind.alias("kind_no"), m["end"].alias("end"),
+            F.array(shape, known, _vote(cue, F.lit(False)), _vote(F.lit(False), before.rlike(AGAINST) | after.rlike(UNITS))).alias("votes"),
+            F.least(F.lit(4), F.floor(n / 4)).cast("int").alias("digits"), grouped.cast("int").alias("grouped"),
+        )
+
+    def proposed(family: str) -> Column:
+        return F.transform(matches(text, CANDIDATES[family], CANDIDATE_GUARD[family]), lambda m: judge(family, m))
+
+    return F.concat(*[proposed(family) for family in CANDIDATES])
+
+
+def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation maximisation over (kind, votes, count) rows: P(vote | true or
+    not) of each labeler, and the share of true spans of each kind.
+
+    Labelers are taken to err independently. The start trusts a vote for its
+    own side at 0.7; a small prior count keeps every probability inside (0, 1).
+    """
+    trust = np.empty((len(LABELERS), 2, 3))
+    trust[:, 1] = 0.1, 0.3, 0.6
+    trust[:, 0] = 0.6, 0.3, 0.1
+    share = np.full(len(MORE_KINDS), 0.5)
+    for _ in range(rounds):
+        seen, of_kind = np.ones_like(trust) * 0.5 + trust * 2, np.ones((len(MORE_KINDS), 2))
+        for kind, votes, n in patterns:
+            p = belief(kind, votes, trust, share)
+            of_kind[kind] += n * (1 - p), n * p
+            for k, v in enumerate(votes):
+                seen[k, :, v + 1] += n * (1 - p), n * p
+        trust, share = seen / seen.sum(axis=2, keepdims=True), of_kind[:, 1] / of_kind.sum(axis=1)
+    return trust, share
+
+
+def belief(kind: int, votes: tuple[int, ...], trust: np.ndarray, share: np.ndarray) -> float:
+    odds = math.log(share[kind] / (1 - share[kind])) + sum(math.log(trust[k, 1, v + 1] / trust[k, 0, v + 1]) for k, v in enumerate(votes))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+
+def _features(kind: int, votes: tuple[int, ...], n_digits: int, grouped: int) -> np.ndarray:
+    x = np.zeros(len(MORE_KINDS) + 2 * len(LABELERS) + 6)
+    x[kind] = 1
+    for k, v in enumerate(votes):
+        if v:
+            x[len(MORE_KINDS) + 2 * k + (v > 0)] = 1
+    x[len(MORE_KINDS) + 2 * len(LABELERS) + n_digits] = 1
+    x[-1] = grouped
+    return x
+
+
+def train(rows: list[tuple[int, tuple[int, ...], int, int, int]]) -> np.ndarray:
+    """Weights of a logistic span classifier, fitted on the beliefs of EM.
+
+    Rows are (kind, votes, digits, grouped, count), one for each combination
+    that occurs: 6 x 81 x 5 x 2 at most, whatever the size of the corpus.
+    """
+    trust, share = reliabilities([(k, v, n) for k, v, _, _, n in rows])
+    size = len(_features(0, (0,) * len(LABELERS), 0, 0))
+    weights = np.zeros(size)
+    if not rows:
+        return weights - 1e3
+    x = np.array([_features(*r[:4]) for r in rows])
+    y = np.array([belief(r[0], r[1], trust, share) for r in rows])
+    n = np.array([r[4] for r in rows], float)
+    n /= n.sum()
+    for _ in range(50):  # Newton's method with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(size), x.T @ (n * (p - y)) + 1e-3 * weights)
+        weights -= step
+        if np.abs(step).max() < 1e-10:
+            break
+    return weights
+
+
+def _score(c: Column, weights: np.ndarray) -> Column:
+    """The classifier's belief in a candidate, as an expression."""
+    w = [float(x) for x in weights]
+    at = F.get(F.array(*[F.lit(x) for x in w[: len(MORE_KINDS)]]), c["kind_no"])
+    for k in range(len(LABELERS)):
+        minus, plus = w[len(MORE_KINDS) + 2 * k : len(MORE_KINDS) + 2 * k + 2]
+        v = F.get(c["votes"], F.lit(k))
+        at = at + F.when(v > 0, plus).when(v < 0, minus).otherwise(0.0)
+    tail = w[len(MORE_KINDS) + 2 * len(LABELERS) :]
+    at = at + F.get(F.array(*[F.lit(x) for x in tail[:5]]), c["digits"]) + c["grouped"] * F.lit(tail[5])
+    return 1 / (1 + F.exp(-at))
+
+
+def _joined(spans: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in MORE_KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone,
+    base_sha256, spans, and the spans as an array.
+
+    Base spans are the valid matches of the four base patterns, leftmost and
+    non-overlapping for each kind; kinds may overlap each other. They always
+    stay. Wider patterns propose candidates (numbers, written-out addresses,
+    titled names); a shape, a gazetteer and two context labelers vote on them,
+    expectation maximisation over the counts of vote patterns weighs the
+    labelers, and a classifier trained on its beliefs adds the candidates of
+    CERTAIN or more that overlap no base span. ``spans`` lists all as
+    kind:start:end by start, then kind, comma-joined; positions count
+    characters, the end exclusive. A null text is empty and has none; rows
+    that repeat an id are judged each; no rows give no rows.
+
+    Texts are read once; the spans are written, and only counts of vote
+    patterns go to the driver.
+    """
+    text = text_or_empty(text_col)
+    read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    found = materialise(read.select("doc_id", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("more")), "spans")
+    overlap = lambda c, b: (c["start"] < b["end"]) & (b["start"] < c["end"])
+    free = found.select("doc_id", "base", F.filter("more", lambda c: ~F.exists("base", lambda b: overlap(c, b))).alias("more"))
+    seen = free.select(F.explode("more").alias("c")).groupBy("c.kind_no", "c.votes", "c.digits", "c.grouped").agg(F.count("*").alias("n"))
+    rows = sorted((r["kind_no"], tuple(r["votes"]), r["digits"], r["grouped"], r["n"]) for r in seen.collect())  # 4,860 rows at most
+    weights = train(rows)
+    added = F.transform(F.filter("more", lambda c: _score(c, weights) >= CERTAIN), lambda c: F.struct(c["start"].alias("start"), c["kind_no"].alias("kind_no"), c["end"].alias("end")))
+    out = free.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans_found"))
+    number = F.transform("base", lambda b: b["kind_no"])
+    counts = [(F.size("base") - F.size(F.array_remove(number, no))).cast("long").alias(f"n_{kind}") for no, kind in enumerate(KINDS)]
+    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans_found")).alias("spans"), "spans_found")

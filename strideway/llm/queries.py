@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import decontamination, exact_dedup, mixing, near_dedup, quality, sharding, suffix_dedup, token_count
+from strideway.llm import decontamination, exact_dedup, license_scan, mixing, near_dedup, pii, quality, sharding, suffix_dedup, token_count
 
 #: File name of the tokenizer whose tokens are counted.
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,16 +40,25 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir)).drop("spans_found")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(table(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_minhash_near_dedup, op3_source_mixing, op4_suffix_dedup, op5_token_counts, op6_sharding, op8_quality, op10_decontamination,
+    op1_exact_dedup, op2_minhash_near_dedup, op3_source_mixing, op4_suffix_dedup, op5_token_counts, op6_sharding,
+    op7_pii, op8_quality, op9_license_scan, op10_decontamination,
 )}
 
 ORACLE_SQL: dict[str, str] = {}
