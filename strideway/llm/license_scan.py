@@ -9,19 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.hashing import IS_LETTER, U, buffers, chunks, mix, ngram_hashes, word_hashes
+from strideway.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes, word_hashes
 
 #: Words of a shingle, and the share of a notice's shingles that a window must hold.
 SHINGLE, CONTAINED = 5, 0.8
-#: Bands of one row each. A window holds under 2 * sqrt(2) + 1 times the
-#: shingles of a notice, so a notice of which 0.8 are there has a similarity of
-#: 0.2 or more with it, and shares a band with a probability of 1 - 0.8**64 >
-#: 1 - 1e-6.
+#: Bands of one row each. A window holds under 4 times the shingles of a notice
+#: (LEAST_STEP of it for the shortest), so a notice of which 0.8 are there has a
+#: similarity of 0.19 or more with it, and shares a band with a probability of
+#: 1 - 0.81**64 > 1 - 2e-6.
 BANDS = 64
+#: Shingles of the shortest step of windows; the others double.
+LEAST_STEP = 2
 
+W = np.uint32
 _rng = np.random.default_rng(31)
-_XOR = _rng.integers(1, 1 << 63, BANDS, dtype=U)
-_MUL = _rng.integers(1, 1 << 63, BANDS, dtype=U) | U(1)
+_XOR = _rng.integers(1, 1 << 31, BANDS, dtype=W)
+_MUL = _rng.integers(1, 1 << 31, BANDS, dtype=W) * W(2) + W(1)
 
 # Public licence notices.
 TEMPLATES = {
@@ -78,13 +81,14 @@ TEMPLATES = {
 }
 
 
-def _minima(shingles: np.ndarray) -> np.ndarray:
-    z = (shingles[:, None] ^ _XOR) * _MUL
-    return ((z ^ (z >> U(32))) * U(0xD6E8FEB86659FD93)).min(axis=0)
+def _band(shingles: np.ndarray, k: int) -> np.ndarray:
+    """Band k's hash of shingles that were cut to 32 bits."""
+    z = (shingles ^ _XOR[k]) * _MUL[k]
+    return (z ^ (z >> W(15))) * W(0x9E3779B1)
 
 
 class Templates:
-    """Shingles of the notices, their band values, and the window lengths."""
+    """Shingles of the notices and their band values, by step of windows."""
 
     def __init__(self, texts: dict[str, str]):
         self.names, self.sets = [], []
@@ -96,43 +100,61 @@ class Templates:
                 grams, _ = ngram_hashes(words, first, SHINGLE)
                 self.names.append(name)
                 self.sets.append(np.unique(grams))
-        self.runs = np.array([len(s) for s in self.sets], np.int64)
-        bands = np.array([_minima(s) for s in self.sets]) if self.sets else np.empty((0, BANDS), U)
-        # window steps: each notice goes with the next power of sqrt(2)
-        grid = np.unique(np.ceil(2 ** (np.arange(60) / 2)).astype(np.int64))
-        self.step = grid[np.searchsorted(grid, self.runs)]
+        step = [max(LEAST_STEP, 1 << (len(s) - 1).bit_length()) for s in self.sets]
+        #: step -> notices, and for each band their values
         self.by_step = {}
-        for step in np.unique(self.step):
-            mine = np.flatnonzero(self.step == step)
-            self.by_step[int(step)] = [(np.sort(bands[mine, k]), mine[np.argsort(bands[mine, k], kind="stable")]) for k in range(BANDS)]
+        for one in sorted(set(step)):
+            mine = np.array([t for t, x in enumerate(step) if x == one])
+            low = np.array([[_band((self.sets[t] >> U(32)).astype(W), k).min() for k in range(BANDS)] for t in mine])
+            self.by_step[one] = mine, low
+
+    @staticmethod
+    def _equal(low: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """(windows, place of the value) of equal band values."""
+        if len(values) <= 16:
+            for t, v in enumerate(values):
+                yield np.flatnonzero(low == v), t
+            return
+        by = np.argsort(values, kind="stable")
+        lo, hi = np.searchsorted(values[by], low, "left"), np.searchsorted(values[by], low, "right")
+        for t in np.unique(np.concatenate([np.arange(a, b) for a, b in {*zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True)}] or [np.empty(0, np.int64)])):
+            yield np.flatnonzero((lo <= t) & (t < hi)), int(by[t])
 
     def scan(self, grams: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, notice, containment, first, last+1 shingle of the window)."""
-        if not len(grams):
+        if not len(grams) or not self.by_step:
             return
-        for step, tables in self.by_step.items():
-            # blocks of ``step`` shingles; a window is two neighbours, so any run
-            # of ``step`` shingles lies within one window
-            per_text = -(-np.diff(begin) // step)
-            block_of = np.zeros(len(begin), np.int64)
-            np.cumsum(per_text, out=block_of[1:])
+        # blocks of one step within a text; the next step's are pairs of them. A
+        # window is two neighbours, so a run of one step lies within a window
+        levels, step, begins = [], LEAST_STEP, begin
+        while step <= max(self.by_step):
+            width = 2 if levels else LEAST_STEP
+            per_text = -(-np.diff(begins) // width)
+            block = np.zeros(len(begin), np.int64)
+            np.cumsum(per_text, out=block[1:])
             text = np.repeat(np.arange(len(per_text)), per_text)
-            at = begin[:-1][text] + (np.arange(block_of[-1]) - block_of[:-1][text]) * step
-            last = np.append(text[1:] != text[:-1], True)
-            pairs = set()
-            for k, (values, owner) in enumerate(tables):
-                z = (grams ^ _XOR[k]) * _MUL[k]
-                low = np.minimum.reduceat((z ^ (z >> U(32))) * U(0xD6E8FEB86659FD93), at)
-                low = np.where(last, low, np.minimum(low, np.append(low[1:], low[-1:])))
-                lo = np.searchsorted(values, low, "left")
-                for w in np.flatnonzero((lo < len(values)) & (values[np.minimum(lo, len(values) - 1)] == low)):
-                    for x in range(lo[w], np.searchsorted(values, low[w], "right")):
-                        pairs.add((int(w), int(owner[x])))
-            for w, t in sorted(pairs):
-                a, b = int(at[w]), int(min(at[w] + 2 * step, begin[text[w] + 1]))
-                share = np.isin(self.sets[t], grams[a:b]).mean()
-                if share >= CONTAINED:
-                    yield int(text[w]), t, float(share), a - int(begin[text[w]]), b - int(begin[text[w]])
+            within = np.arange(block[-1]) - block[:-1][text]
+            levels.append((step, begins[:-1][text] + within * width, begin[:-1][text] + within * step, text, np.append(text[1:] != text[:-1], True)))
+            begins, step = block, 2 * step
+        short = (grams >> U(32)).astype(W)
+        pairs: set[tuple[int, int, int]] = set()
+        for k in range(BANDS):
+            least = _band(short, k)
+            for level, (step, cut, _, _, last) in enumerate(levels):
+                least = np.minimum.reduceat(least, cut)
+                if step in self.by_step:
+                    window = least.copy()
+                    window[:-1] = np.where(last[:-1], least[:-1], np.minimum(least[:-1], least[1:]))
+                    mine, low = self.by_step[step]
+                    for windows, t in self._equal(window, low[:, k]):
+                        pairs.update((level, int(w), int(mine[t])) for w in windows)
+        for level, w, t in sorted(pairs):
+            step, _, at, text, _ = levels[level]
+            a = int(at[w])
+            b = int(min(a + 2 * step, begin[text[w] + 1]))
+            share = np.isin(self.sets[t], grams[a:b]).mean()
+            if share >= CONTAINED:
+                yield int(text[w]), t, float(share), a - int(begin[text[w]]), b - int(begin[text[w]])
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
@@ -140,7 +162,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     a window of a document holds CONTAINED of the five-word shingles or more.
 
     Words are runs of letters and digits with A-Z lowered. Windows of two steps
-    overlap by one step; a notice's step is the next power of sqrt(2) from its
+    overlap by one step; a notice's step is the next power of two from its
     number of shingles on, so each run of words that could be the notice lies
     whole in a window. MinHash bands retrieve the notices of a window, exact
     containment confirms them. The best window of a document and notice is
