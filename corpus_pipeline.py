@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import decontamination, mixing, near_dedup, quality, sharding
-from strideway.llm.common import materialise
+from lanewright.llm import decontamination, mixing, near_dedup, quality, sharding
+from lanewright.llm.common import materialise
 
 #: Word shingles and similarity in percent from which documents are one group.
 SHINGLE, SIMILAR = 5, 80

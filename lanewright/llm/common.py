@@ -29,7 +29,7 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="strideway-")
+        _own_dirs[app] = tempfile.mkdtemp(prefix="lanewright-")
         atexit.register(shutil.rmtree, _own_dirs[app], True)
     return "file://" + _own_dirs[app]
 
@@ -41,7 +41,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     is computed twice.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/strideway/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/lanewright/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

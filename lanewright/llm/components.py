@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.common import materialise
+from lanewright.llm.common import materialise
 
 
 def connected_components(links: DataFrame, label: str = "cc") -> DataFrame:

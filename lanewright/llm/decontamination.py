@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes, word_hashes
+from lanewright.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes, word_hashes
 
 #: Words of a seed.
 SEED = 3

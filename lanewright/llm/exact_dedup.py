@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideway.llm.common import ascii_lower, materialise, shuffle_parts, text_or_empty
+from lanewright.llm.common import ascii_lower, materialise, shuffle_parts, text_or_empty
 
 #: A digest is frequent from this share of the rows on. There can be no more
 #: than 1/SUPPORT such digests, which bounds what is broadcast (about 1 MB),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes, word_hashes
+from lanewright.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes, word_hashes
 
 #: Words of a shingle, and the share of a notice's shingles that a window must hold.
 SHINGLE, CONTAINED = 5, 0.8

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideway.llm.common import materialise, text_or_empty
+from lanewright.llm.common import materialise, text_or_empty
 
 #: No document is taken more often than this.
 MOST_COPIES = 3

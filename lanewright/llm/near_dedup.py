@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.common import materialise
-from strideway.llm.components import connected_components
-from strideway.llm.hashing import U, buffers, chunks, mix, ngram_hashes, word_hashes
+from lanewright.llm.common import materialise
+from lanewright.llm.components import connected_components
+from lanewright.llm.hashing import U, buffers, chunks, mix, ngram_hashes, word_hashes
 
 #: Coordinates of a signature (a power of two: the coordinate's number takes
 #: the low bits of a token, the least hash value the rest).

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.common import materialise, text_or_empty
+from lanewright.llm.common import materialise, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = (*KINDS, "name", "ssn")

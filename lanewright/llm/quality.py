@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.hashing import Prefix, buffers, chunks, word_spans
+from lanewright.llm.hashing import Prefix, buffers, chunks, word_spans
 
 #: Features are hashed into 2**BITS numbers, which bounds all that is counted,
 #: sent to the driver and broadcast (4 MB).

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import decontamination, exact_dedup, license_scan, mixing, near_dedup, pii, quality, sharding, suffix_dedup, token_count
+from lanewright.llm import decontamination, exact_dedup, license_scan, mixing, near_dedup, pii, quality, sharding, suffix_dedup, token_count
 
 #: File name of the tokenizer whose tokens are counted.
 TOKENIZER = "byte_bpe_50k.json"

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideway.llm.common import materialise, text_or_empty, utf8_size
+from lanewright.llm.common import materialise, text_or_empty, utf8_size
 
 #: Rows of one source bucket, and of one bucket of a shard, on average. The
 #: number of buckets stops at MOST_BUCKETS, which bounds the matrix: 8192 x 40

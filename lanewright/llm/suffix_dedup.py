@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideway.llm.common import materialise, only_ids
-from strideway.llm.hashing import CHUNK_BYTES, Prefix, U, buffers, chunks, mix
+from lanewright.llm.common import materialise, only_ids
+from lanewright.llm.hashing import CHUNK_BYTES, Prefix, U, buffers, chunks, mix
 
 #: Bytes of the first rank; the sampled position carries it.
 FIRST = 32
