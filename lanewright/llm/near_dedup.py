@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import materialise
+from lanewright.llm.common import materialise, only_ids, without_ids
 from lanewright.llm.components import connected_components
 from lanewright.llm.hashing import U, buffers, chunks, mix, ngram_hashes, word_hashes
 
@@ -289,8 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = blocks.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
     retained = materialise(blocks.mapInPandas(_collide(hot, rank, least, percent), schema), "retained")
 
-    involved = retained.select(F.col("rep").alias("doc_id")).distinct()
-    sets = rows.join(involved, "doc_id", "left_semi").select("text").mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
+    involved = materialise(retained.select(F.col("rep").alias("doc_id")).distinct(), "involved")
+    sets = only_ids(rows, involved, "doc_id").select("text").mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
     full = retained.join(sets, "digest").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
     links = full.mapInPandas(_confirm(hot, rank, least, percent), "a long, b long")
     reached = connected_components(links, "near").withColumnRenamed("node", "rep")
@@ -320,4 +320,4 @@ def frequent_tokens(reps: DataFrame, share: float = FREQUENT) -> tuple[np.ndarra
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group."""
     gone = near_duplicates(docs, id_col, text_col, shingle, percent).where("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    return without_ids(docs, materialise(gone, "gone"), id_col)
