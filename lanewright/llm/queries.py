@@ -61,4 +61,22 @@ QUERIES = {f.__name__: f for f in (
     op7_pii, op8_quality, op9_license_scan, op10_decontamination,
 )}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_exact_dedup": """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) keep_id, count(*) OVER (PARTITION BY t) group_size, doc_id = max(doc_id) OVER (PARTITION BY t) kept, sha256(t) text_sha256 FROM d""",
+    "op3_source_mixing": """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) s FROM d GROUP BY 1),
+weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 w FROM per),
+filled AS (SELECT *, sum(s) OVER () total, sum(w) OVER () weights, coalesce(sum(s) OVER o, 0) stopped, coalesce(sum(w) OVER o, 0) gone FROM weighed
+ WINDOW o AS (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT *, CAST(total - 3 * stopped AS DOUBLE) / CAST(weights - gone AS DOUBLE) lev FROM filled),
+target AS (SELECT source, s source_size, least(CAST(3 * s AS DOUBLE), (SELECT arg_min(lev, gone) FROM levels WHERE lev * w <= 3 * s) * w) target FROM levels),
+placed AS (SELECT d.doc_id, d.size, t.source, t.source_size, t.target, CASE WHEN source_size <= 0 THEN 1.0::DOUBLE ELSE target / source_size END rate,
+ row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id % ((SELECT count(*) FROM d) // 20000 + 1), doc_id) i FROM d JOIN target t ON t.source IS NOT DISTINCT FROM d.source),
+phased AS (SELECT *, k, size * least(3, CAST(floor(rate * i + (k + 0.5::DOUBLE) / 64 + 1e-7::DOUBLE) - floor(rate * (i - 1) + (k + 0.5::DOUBLE) / 64 + 1e-7::DOUBLE) AS BIGINT)) taken FROM placed, range(64) x(k)),
+sums AS (SELECT source, k, abs(sum(taken) - any_value(target)) off FROM phased GROUP BY 1, 2),
+best AS (SELECT source, k FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) p FROM sums) WHERE p = 1)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) taken FROM phased p JOIN best b ON b.source IS NOT DISTINCT FROM p.source AND b.k = p.k""",
+}
