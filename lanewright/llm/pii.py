@@ -63,33 +63,74 @@ UNITS = r"^\s?(?:%|kg|km|mm|cm|usd|eur|ms\b|mb\b|gb\b|px\b)"
 LABELERS = ("shape", "gazetteer", "context", "surroundings")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once. An expression named inside
+    a lambda would be worked out again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Entries of one block, where sums or searches go by blocks.
+_BLOCK = 128
+
+
 def _running(lengths: Column) -> Column:
     """Sums of the entries up to each one, in blocks so that long arrays cost
     little more than short ones."""
-    block = 128
-    sums = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / block))), lambda b: F.aggregate(F.slice(lengths, (b * block + 1).cast("int"), F.lit(block)), F.lit(0), lambda s, x: s + x))
-    before = F.aggregate(sums, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    add = lambda s, x: s + x
+
+    def body(entries: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(entries) - 1) / _BLOCK)))
+        sums = F.transform(blocks, lambda b: F.aggregate(F.slice(entries, (b * _BLOCK + 1).cast("int"), F.lit(_BLOCK)), F.lit(0), add))
+        before = F.aggregate(sums, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
 
-    def upto(x: Column, i: Column) -> Column:
-        head = F.floor(i / block).cast("int")
-        return F.get(before, head) + F.aggregate(F.slice(lengths, head * block + 1, i - head * block + 1), F.lit(0), lambda s, y: s + y)
+        def each(ahead: Column) -> Column:
+            def upto(_: Column, i: Column) -> Column:
+                head = F.floor(i / _BLOCK).cast("int")
+                return F.get(ahead, head) + F.aggregate(F.slice(entries, head * _BLOCK + 1, i - head * _BLOCK + 1), F.lit(0), add)
 
-    return F.transform(lengths, upto)
+            return F.transform(entries, upto)
+
+        return _let(before, each)
+
+    return _let(lengths, body)
 
 
 def matches(text: Column, pattern: str, guard: str) -> Column:
-    """array<struct<start, end, found>> of all matches, in characters.
+    """array<struct<start, end, found, before, after>> of all matches, in
+    characters; before and after are what stands next to a match, up to the
+    matches beside it.
 
     The pieces between matches and the matches themselves, laid end to end,
     are the text; so their lengths give every position.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
-    spans = F.transform(F.arrays_zip(_running(steps).alias("end"), found.alias("found")), lambda z: F.struct((z["end"] - F.length(z["found"])).alias("start"), z["end"].alias("end"), z["found"].alias("found")))
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+
+    def spans(t: Column) -> Column:
+        steps = F.transform(t["found"], lambda m, i: F.length(F.get(t["pieces"], i)) + F.length(m))
+        zipped = F.arrays_zip(_running(steps).alias("end"), t["found"].alias("found"))
+
+        def span(z: Column, i: Column) -> Column:
+            near = F.right(F.get(t["pieces"], i), F.lit(40)).alias("before"), F.left(F.get(t["pieces"], i + 1), F.lit(6)).alias("after")
+            return F.struct((z["end"] - F.length(z["found"])).alias("start"), z["end"].alias("end"), z["found"].alias("found"), *near)
+
+        return F.transform(zipped, span)
+
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    none = F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>")
     has = F.contains(text, F.lit(guard)) if len(guard) == 1 else text.rlike(guard)
-    return F.when(has, F.when(F.size(found) > 0, spans).otherwise(none)).otherwise(none)
+    return F.when(has, _let(cut, spans)).otherwise(none)
+
+
+def _apart(candidates: Column, base: Column) -> Column:
+    """The candidates that overlap no base span. Base spans are sorted; blocks
+    of them that lie wholly before or after a candidate are passed over."""
+    overlap = lambda c, b: (c["start"] < b["end"]) & (b["start"] < c["end"])
+
+    def block(k: Column) -> Column:
+        return _let(F.slice(base, (k * _BLOCK + 1).cast("int"), F.lit(_BLOCK)), lambda part: F.struct(F.element_at(part, 1)["start"].alias("start"), F.array_max(F.transform(part, lambda b: b["end"])).alias("end"), part.alias("part")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(base) - 1) / _BLOCK)), block)
+    free = _let(blocks, lambda bs: F.filter(candidates, lambda c: ~F.exists(bs, lambda k: overlap(c, k) & F.exists(k["part"], lambda b: overlap(c, b)))))
+    return F.when((F.size(base) > 0) & (F.size(candidates) > 0), free).otherwise(candidates)
 
 
 def digits(found: Column) -> Column:
@@ -159,8 +200,7 @@ def candidate_spans(text: Column) -> Column:
             kind, grouped = F.lit(MORE_KINDS.index("name")), F.lit(False)
             shape = _vote(found.rlike(r"\. [A-Z][a-z]+ [A-Z][a-z]+$"), F.lit(False))
             known = _vote(F.lower(F.regexp_extract(found, r"\. ([A-Za-z]+)", 1)).isin(NAMES), F.lit(False))
-        before = F.substr(text, F.greatest(F.lit(1), m["start"] - 39), F.least(F.lit(40), m["start"]))
-        after = F.substr(text, m["end"] + 1, F.lit(6))
+        before, after = m["before"], m["after"]
         cue = F.lit(False)
         for k, name in enumerate(MORE_KINDS):
             cue = cue | ((kind == k) & before.rlike(CUES[name]))
@@ -277,8 +317,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = text_or_empty(text_col)
     read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     found = materialise(read.select("doc_id", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("more")), "spans")
-    overlap = lambda c, b: (c["start"] < b["end"]) & (b["start"] < c["end"])
-    free = found.select("doc_id", "base", F.filter("more", lambda c: ~F.exists("base", lambda b: overlap(c, b))).alias("more"))
+    free = found.select("doc_id", "base", _apart(F.col("more"), F.col("base")).alias("more"))
     seen = free.select(F.explode("more").alias("c")).groupBy("c.kind_no", "c.votes", "c.digits", "c.grouped").agg(F.count("*").alias("n"))
     rows = sorted((r["kind_no"], tuple(r["votes"]), r["digits"], r["grouped"], r["n"]) for r in seen.collect())  # 4,860 rows at most
     weights = train(rows)
