@@ -161,3 +161,45 @@ def replay(events: DataFrame, room: int, ttl_ms: int = TTL_MS, most: int = MAX_E
         return pd.DataFrame(out, columns=["namespace", "seq", "op", "key", "ok", "evicted"])
 
     return events.groupBy("namespace").applyInPandas(run, schemas.CACHE_RESULT)
+
+
+class AreaCache:
+    """What a client keeps: areas in their small form, addresses, and when it
+    last asked the network. Keys are texts made by ``area_key`` and
+    ``address_key``; areas and addresses share one order of use, and the stamp
+    stands outside it."""
+
+    def __init__(self, store: Store, clock: Callable[[], int]):
+        self.store, self.clock, self.stamp = store, clock, None
+
+    def put_area(self, key: str, slimmed: object, size: int) -> bool:
+        return self.store.put("area|" + key, size, self.clock(), slimmed)[0]
+
+    def get_area(self, key: str) -> object | None:
+        return self.store.value("area|" + key) if self.store.get("area|" + key, self.clock()) else None
+
+    def has_area(self, key: str) -> bool:
+        return self.store.peek("area|" + key, self.clock())
+
+    def put_address(self, key: str, place: tuple[float, float]) -> bool:
+        return self.store.put("address|" + key, len(str(list(place))), self.clock(), tuple(place))[0]
+
+    def _place(self, key: str) -> tuple[float, float] | None:
+        place = self.store.value("address|" + key)
+        return place if isinstance(place, tuple) and len(place) == 2 else None
+
+    def get_address(self, key: str) -> tuple[float, float] | None:
+        return self._place(key) if self.store.get("address|" + key, self.clock()) else None
+
+    def peek_address(self, key: str) -> tuple[float, float] | None:
+        return self._place(key) if self.store.peek("address|" + key, self.clock()) else None
+
+    def note_fetch(self, at: int) -> None:
+        self.stamp = at
+
+    def last_fetch(self) -> int | None:
+        return self.stamp if isinstance(self.stamp, int) else None
+
+    def cooling(self, window_ms: int = COOLDOWN_MS) -> int:
+        """Milliseconds until the network may be asked again."""
+        return 0 if self.last_fetch() is None else max(0, window_ms - (self.clock() - self.last_fetch()))

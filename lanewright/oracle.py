@@ -102,6 +102,7 @@ ORACLE_SQL = {
     "element_filter": f"WITH {CELLS} SELECT area_id, 'node' AS type, count(*) n FROM nodes GROUP BY 1 UNION ALL SELECT area_id, 'way', count(*) FROM ways GROUP BY 1",
     "osm_parse": f"WITH {EDGES} SELECT area_id, src, dst, {R('len', 6)} len FROM edges",
     "components": f"WITH RECURSIVE {LABELS} SELECT area_id, id, component FROM labels",
+    "components_wide": f"WITH RECURSIVE {LABELS} SELECT area_id, id, component FROM labels",
     "largest_component": f"WITH RECURSIVE {LABELS} SELECT area_id, component, n FROM largest",
     "junctions": f"WITH {EDGES} SELECT area_id, id FROM deg WHERE degree<>2",
     "isolated_loops": f"WITH RECURSIVE {LABELS} SELECT l.area_id, component FROM labels l JOIN deg d ON d.area_id=l.area_id AND d.id=l.id GROUP BY 1,2 HAVING bool_and(degree=2)",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanewright import schemas
 from lanewright.functions import scalar as S
-from lanewright.operators import areas, cache, graph, runs
+from lanewright.operators import areas, cache, graph, runs, wide
 from lanewright.plans import route_plan
 from lanewright.scratch import scratch_dir
 from lanewright.sources import city, gpx, osm
@@ -123,6 +123,11 @@ def components(spark, sf):
     return graph.components(city.city_edges(spark, sf))
 
 
+def components_wide(spark, sf):
+    """The same labels by rounds of joins, for areas too large for one task."""
+    return wide.components(city.city_edges(spark, sf))
+
+
 def largest_component(spark, sf):
     return graph.largest_component(city.city_edges(spark, sf))
 
@@ -519,7 +524,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         city_nodes, city_ways, way_segments, dangling_refs, edge_dedup_min, haversine_lengths, node_degree, odd_nodes, bare_length, graph_shape, nearest_node,
-        radius_ways, element_filter, osm_parse, components, largest_component, junctions, isolated_loops, subgraph, sssp_corner, shortest_paths, odd_distances,
+        radius_ways, element_filter, osm_parse, components, components_wide, largest_component, junctions, isolated_loops, subgraph, sssp_corner, shortest_paths, odd_distances,
         nearest_odd, seeds_lon, kmeans_zones, nearest_centroid, edge_zone, zone_center, zone_order, zone_count, cut_edges, bfs_partition, mincut_zones, split_runs,
         run_elevation, total_climb, gpx_export, bounding_box, xml_escape, uri_encode, overpass_key, geocode_key, geocode_lookup, slim_encode, slim_expand,
         cooldown_gate, cooldown_left, ttl_hits, lru_order, cache_replay, would_use_network, failover_choice, status_message, elevation_lookup, hue_palette, units,
