@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes, word_hashes
+from lanewright.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes, slices, word_hashes
 
 #: Words of a seed.
 SEED = 3
@@ -43,7 +43,7 @@ def word_shares(texts: DataFrame, wanted: np.ndarray) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, total = np.zeros(len(wanted), np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             data, offs = buffers(pc.utf8_lower(batch.column(0)))
             for _, _, part, at in chunks(data, offs):
                 words, _ = word_hashes(part, at, IS_LETTER)
@@ -199,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for shared in seed_tables(texts, benchmark, item_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(d, *m) for d, w in zip(batch.column(0).to_pylist(), _words(batch.column(1)), strict=True) for m in matches(w, shared.value, least)]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
@@ -219,7 +219,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     for shared in seed_tables(texts, benchmark, item_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 clean = [next(matches(w, shared.value, least), None) is None for w in _words(batch.column(at))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

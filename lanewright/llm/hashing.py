@@ -19,7 +19,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Texts are hashed in runs of about so many bytes, which bounds memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
@@ -64,6 +64,15 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes, without copying, so that
+    what is worked out for a slice stays small."""
+    for batch in batches:
+        step = max(1, int(limit * batch.num_rows / max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+
 def chunks(data: np.ndarray, offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about ``limit`` bytes: (first, last+1, bytes, offsets)."""
     n, a = len(offs) - 1, 0

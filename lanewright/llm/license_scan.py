@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes, word_hashes
+from lanewright.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes, slices, word_hashes
 
 #: Words of a shingle, and the share of a notice's shingles that a window must hold.
 SHINGLE, CONTAINED = 5, 0.8
@@ -178,7 +178,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             data, offs = buffers(batch.column(1))
             rows = []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lanewright.llm.common import materialise, only_ids, without_ids
 from lanewright.llm.components import connected_components
-from lanewright.llm.hashing import U, buffers, chunks, mix, ngram_hashes, word_hashes
+from lanewright.llm.hashing import U, buffers, chunks, mix, ngram_hashes, slices, word_hashes
 
 #: Coordinates of a signature (a power of two: the coordinate's number takes
 #: the low bits of a token, the least hash value the rest).
@@ -69,7 +69,7 @@ def digest(hashes: np.ndarray) -> bytes:
 
 def _sign(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, digests, tokens = [], [], []
             for s in shingle_sets(batch.column(1), n):
                 counts.append(len(s))
@@ -229,7 +229,7 @@ def _confirm(hot: np.ndarray, rank: np.ndarray, least: int, percent: int):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, sets, total = [], [], 0
             for s in shingle_sets(batch.column(0), n):
                 names.append(digest(s))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.hashing import Prefix, buffers, chunks, word_spans
+from lanewright.llm.hashing import Prefix, buffers, chunks, slices, word_spans
 
 #: Features are hashed into 2**BITS numbers, which bounds all that is counted,
 #: sent to the driver and broadcast (4 MB).
@@ -118,7 +118,7 @@ def log_ratios(rows: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for x, label in zip(features(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 seen[label][x] += 1
         at = np.flatnonzero(seen.any(axis=0))
@@ -187,7 +187,7 @@ def fit(labelled: DataFrame) -> Model:
     ratios = log_ratios(rows.select("text", "label"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [f.astype(np.int32).tobytes() for f in features(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], ["x", "label"])
 
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(x) for x in features(batch.column(1))], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -258,7 +258,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([shared.value.score(x) >= threshold for x in features(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

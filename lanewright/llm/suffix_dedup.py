@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.llm.common import materialise, only_ids
-from lanewright.llm.hashing import CHUNK_BYTES, Prefix, U, buffers, chunks, mix
+from lanewright.llm.hashing import CHUNK_BYTES, Prefix, U, buffers, chunks, mix, slices
 
 #: Bytes of the first rank; the sampled position carries it.
 FIRST = 32
 #: Positions of one piece take so many low bits in the comparison of ranks.
 PIECE_BITS = 20
+#: Bytes of text whose equal contexts are settled before the shuffle.
+SLICE = 8 << 20
 #: Contexts of one first rank that are compared in one task; more are dealt.
 GROUP = 20_000
 
@@ -83,11 +85,11 @@ _RANKS = "rank long, context long, doc long, at long, lo long, hi long"
 
 
 def _rank_batches(length: int, first: int):
-    """Rows of anchors. Contexts that stand earlier in the batch are known
+    """Rows of anchors. Contexts that stand earlier in the slice are known
     repeats: they come as ranges (at = -1), the others once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offs = buffers(batch.column(1))
             found = []
@@ -224,7 +226,7 @@ def spans_of(n: int, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.nd
 
 def _apply(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data, offs = buffers(batch.column(1))
             out: list[list] = [[] for _ in range(7)]
             ranges = batch.column(2)
@@ -270,8 +272,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Spark sorts (rank of ``first`` bytes, context, document, position) rows
        of the sample. A rank with one context is settled: its windows are new
        at the first place of the context and repeats at all others. Equal
-       contexts of one batch are settled before the shuffle, so a text copied
-       into a third of all rows sends one row a batch.
+       contexts of one slice are settled before the shuffle, so a text copied
+       into a third of all rows sends one row a slice.
     2. Contexts that share their first rank with other contexts get the next
        rank, of all ``length`` bytes, for each window: texts are read again
        for those contexts only, sorted by rank, and windows are named and
