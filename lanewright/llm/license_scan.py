@@ -80,6 +80,17 @@ TEMPLATES = {
     "All rights reserved": "Copyright. All rights reserved. No part of this publication may be reproduced",
 }
 
+#: SPDX identifiers whose tags are named; other tags are found without one.
+_SPDX = (
+    "0BSD", "AFL-3.0", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0",
+    "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0",
+    "EUPL-1.2", "GFDL-1.3-or-later", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+    "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "OFL-1.1",
+    "Python-2.0", "Unicode-DFS-2016", "Unlicense", "WTFPL", "Zlib",
+)
+# Notices that are looked up word by word.
+PHRASES = {"All rights reserved line": "All rights reserved", "SPDX tag": "SPDX-License-Identifier"} | {f"{x} tag": f"SPDX-License-Identifier: {x}" for x in _SPDX}
+
 
 def _band(shingles: np.ndarray, k: int) -> np.ndarray:
     """Band k's hash of shingles that were cut to 32 bits."""
@@ -88,18 +99,24 @@ def _band(shingles: np.ndarray, k: int) -> np.ndarray:
 
 
 class Templates:
-    """Shingles of the notices and their band values, by step of windows."""
+    """Shingles of the notices and their band values, by step of windows; and
+    the whole word sequences of phrases and of notices of under SHINGLE words."""
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], phrases: dict[str, str] | None = None):
         self.names, self.sets = [], []
-        for name, text in texts.items():
+        #: words of a phrase, most first -> their hash -> name
+        self.phrases: dict[int, dict[int, str]] = {}
+        phrases = phrases or {}
+        for name, text in [*texts.items(), *phrases.items()]:
             data, offs = buffers(pa.array([text]))
             words, first = word_hashes(data, offs, IS_LETTER)
-            # a notice of fewer words could not be told from chance
-            if len(words) >= SHINGLE:
+            if len(words) >= SHINGLE and name not in phrases:
                 grams, _ = ngram_hashes(words, first, SHINGLE)
                 self.names.append(name)
                 self.sets.append(np.unique(grams))
+            elif len(words):
+                self.phrases.setdefault(len(words), {})[int(ngram_hashes(words, first, len(words))[0][0])] = name
+        self.phrases = dict(sorted(self.phrases.items(), reverse=True))
         step = [max(LEAST_STEP, 1 << (len(s) - 1).bit_length()) for s in self.sets]
         #: step -> notices, and for each band their values
         self.by_step = {}
@@ -120,6 +137,20 @@ class Templates:
         for t in np.unique(np.concatenate([np.arange(a, b) for a, b in {*zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True)}] or [np.empty(0, np.int64)])):
             yield np.flatnonzero((lo <= t) & (t < hi)), int(by[t])
 
+    def find(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str, int, int]]:
+        """(text, name, first, last+1 word) of each phrase; of those that start
+        at one word the longest."""
+        taken = np.zeros(len(words), bool)
+        for n, names in self.phrases.items():
+            grams, begin = ngram_hashes(words, first, n)
+            at = np.flatnonzero(np.isin(grams, np.array(list(names), U)))
+            text = np.searchsorted(begin, at, "right") - 1
+            place = at - begin[text]
+            for t, name, x, w in zip(text.tolist(), grams[at].tolist(), place.tolist(), (first[text] + place).tolist(), strict=True):
+                if not taken[w]:
+                    taken[w] = True
+                    yield t, names[name], x, x + n
+
     def scan(self, grams: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, notice, containment, first, last+1 shingle of the window)."""
         if not len(grams) or not self.by_step:
@@ -157,7 +188,7 @@ class Templates:
                 yield int(text[w]), t, float(share), a - int(begin[text[w]]), b - int(begin[text[w]])
 
 
-def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
+def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, containment, start_word, end_word): each notice of which
     a window of a document holds CONTAINED of the five-word shingles or more.
 
@@ -168,11 +199,14 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     containment confirms them. The best window of a document and notice is
     returned, the first of equals. Whole texts are scanned, and not shuffled.
 
-    Notices of under five words are never found, nor are they in texts of under
-    five words; null and empty texts hold none. Rows that repeat an id count as
+    Notices of under five words, and all ``phrases`` (by default none; op9 asks
+    for PHRASES), are found where their words stand one after the other, in
+    texts of any length; of phrases that start at one word the longest counts.
+    Of an SPDX expression the first identifier is named. Null and empty texts
+    hold no notice. Rows that repeat an id count as
     one; a null id is an id. No rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, phrases))
     kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32())
     names = ["doc_id", "license", "containment", "start_word", "end_word"]
 
@@ -185,12 +219,14 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
             for a, _, part, at in chunks(data, offs):
                 words, first = word_hashes(part, at, IS_LETTER)
                 grams, begin = ngram_hashes(words, first, SHINGLE)
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for text, t, share, x, y in known.scan(grams, begin):
-                    old = best.get((text, t))
+                found = [(text, known.names[t], share, x, y + SHINGLE - 1) for text, t, share, x, y in known.scan(grams, begin)]
+                found += [(text, name, 1.0, x, y) for text, name, x, y in known.find(words, first)]
+                best: dict[tuple[int, str], tuple[float, int, int]] = {}
+                for text, name, share, x, y in found:
+                    old = best.get((text, name))
                     if old is None or (share, -x) > (old[0], -old[1]):
-                        best[text, t] = share, x, y
-                rows += [(ids[a + text], known.names[t], share, x, y + SHINGLE - 1) for (text, t), (share, x, y) in best.items()]
+                        best[text, name] = share, x, y
+                rows += [(ids[a + text], name, *one) for (text, name), one in best.items()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 

@@ -49,7 +49,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.licences(table(spark, sf_dir))
+    return license_scan.licences(table(spark, sf_dir), phrases=license_scan.PHRASES)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

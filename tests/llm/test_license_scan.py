@@ -2,6 +2,7 @@ import random
 import re
 
 from lanewright.llm import license_scan as scan
+from lanewright.llm import queries
 
 WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,3 +65,29 @@ def test_edge_rows(edge):
 
 def test_nothing(empty, edge):
     assert scan.licences(empty).count() == 0 and scan.licences(edge, templates={}).count() == 0
+
+
+PLANTED = ("All rights reserved.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.")
+
+
+def test_planted_lines_are_found(spark, sf_dir):
+    """Against the lines themselves, not the operator's rule."""
+    sf = sf_dir.replace("0.001", "0.01")
+    names = dict(zip(PLANTED, ("All rights reserved line", "Apache-2.0", "MIT", "CC-BY-NC-4.0", "GPL-3.0"), strict=True))
+    want = {(r.doc_id, names[x]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for x in (r.text or "").split("\n") if x in names}
+    assert {n for _, n in want} == set(names.values())
+    assert {(r.doc_id, r.license) for r in queries.op9_license_scan(spark, sf).collect()} >= want
+
+
+def test_phrases(spark):
+    tag = "SPDX-License-Identifier: "
+    rows = [
+        (1, "All rights reserved."), (2, "x ALL RIGHTS\nRESERVED y all rights reserved"), (3, "all rights were reserved"), (4, "all rights"), (5, "reserved."), (6, f"// {tag}MIT"),
+        (7, f"# {tag}GPL-2.0-or-later\n"), (8, f"{tag}Own-1.0 text"), (9, f"{tag}MIT a b {tag}Apache-2.0"), (10, "rights reserved All"), (11, "please read: too short"),
+    ]
+    got = scan.licences(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), templates={"short": "too short"}, phrases=scan.PHRASES).collect()
+    assert {(r.doc_id, r.license, r.start_word, r.end_word) for r in got} == {
+        (1, "All rights reserved line", 0, 3), (2, "All rights reserved line", 1, 4), (6, "MIT tag", 0, 4), (7, "GPL-2.0-or-later tag", 0, 8), (8, "SPDX tag", 0, 3),
+        (9, "MIT tag", 0, 4), (9, "Apache-2.0 tag", 6, 12), (11, "short", 2, 4),
+    }
+    assert all(r.containment == 1 for r in got)
