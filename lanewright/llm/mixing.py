@@ -86,8 +86,9 @@ def balance(targets: DataFrame) -> DataFrame:
     return state.withColumn("rate", rate).drop("_lambda")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_COPIES) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_COPIES, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies,
+    taken; and the columns ``keys``, which order rows of one id.
 
     Rates are rounded into whole copies along each source's documents in
     order of size: after the i-th document floor(rate * i + phase) copies have
@@ -103,13 +104,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     task: counts per (source, size, cell) are summed first, and only rows of
     one cell, about WINDOW_ROWS of them, are ranked together.
     """
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "words")
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *keys), "words")
     targets = materialise(balance(source_targets(rows, most)), "targets")
     small = targets.count() <= BROADCAST_SOURCES
     cells = int(rows.count() // WINDOW_ROWS + 1)
-    keys = ["source", "size", "_cell"]
+    cell = ["source", "size", "_cell"]
     rows = rows.withColumn("_cell", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(cells)))
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
     # first over the sizes of a source, then over the cells of a size
     sized = counts.groupBy("source", "size").agg(F.sum("_n").alias("_m"))
     ahead = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,21 +128,30 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     offsets = counts.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
     offsets = offsets.alias("o").join(sized.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source")) & (F.col("o.size") == F.col("s.size")))
     offsets = offsets.select("o.source", "o.size", "o._cell", (F.col("_ahead") + F.col("_inner")).alias("_offset"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id")))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("doc_id", *keys)))
     same = F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.size") == F.col("o.size")) & (F.col("r._cell") == F.col("o._cell"))
-    placed = ranked.alias("r").join(offsets.alias("o"), same).select("r.doc_id", "r.source", "r.size", (F.col("_offset") + F.col("_rank")).alias("_at"))
+    placed = ranked.alias("r").join(offsets.alias("o"), same).select("r.doc_id", *[f"r.{k}" for k in keys], "r.source", "r.size", (F.col("_offset") + F.col("_rank")).alias("_at"))
     hint = F.broadcast if small else (lambda x: x)
     joined = placed.alias("p").join(hint(targets.alias("t")), F.col("p.source").eqNullSafe(F.col("t.source")))
     copies = F.least(F.lit(most), taken(F.col("_at"), F.col("phase")) - taken(F.col("_at") - 1, F.col("phase"))).cast("int")
-    return joined.select("doc_id", "p.source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return joined.select("doc_id", *keys, "p.source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_COPIES) -> DataFrame:
     """``docs`` with each row repeated by its copies; rows of 0 copies go.
 
-    Ids must be told apart: rows with a null id are left out of the mix, and
-    rows that repeat an id all get the mean of their copies, rounded.
+    Rows are told apart by hashes of the id and of the whole row, so rows with
+    a null id and rows that repeat an id have copies of their own. Fully equal
+    rows are interchangeable: they share the sum of their copies evenly.
     """
-    copies = mix_sources(docs, id_col, text_col, source_col, most).groupBy(F.col("doc_id").alias(id_col)).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    out = docs.join(copies, id_col).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names, strict=True))
+    plain = docs.toDF(*names)
+    keyed = plain.select("*", F.xxhash64(own[id_col]).alias("_id"), F.xxhash64(*names).alias("_row"))
+    keys = ("_id", "_row")
+    copies = mix_sources(keyed, own[id_col], own[text_col], own[source_col], most, keys).groupBy(*keys).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
+    # the join has dealt the rows by the window's keys
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_n"))
+    each = F.floor(F.col("_sum") / F.col("_n")) + (number <= F.col("_sum") % F.col("_n")).cast("int")
+    out = keyed.join(copies.where("_sum > 0"), list(keys)).withColumn("_copies", each.cast("int")).where("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*names).toDF(*docs.columns)

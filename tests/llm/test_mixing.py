@@ -73,5 +73,20 @@ def test_rows_are_repeated(spark):
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == {k: c for k, c in copies.items() if c}
 
 
+def test_null_and_repeated_ids_keep_their_own_copies(spark):
+    rows = [(7, "w " * 10 + f"x{k}", "a") for k in range(60)] + [(8, "w " * 11, "a")] * 60 + [(None, "w " * 12 + f"x{k % 9}", "b") for k in range(40)] + [(100 + k, "w " * 10, "c") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns
+    taken = defaultdict(int)
+    for r in out.collect():
+        taken[r.source] += len(WORD.findall(r.text))
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    targets = water_fill(sizes)
+    assert targets["a"] < sizes["a"] / 2 and all(abs(taken[s] - t) <= 14 for s, t in targets.items())
+
+
 def test_nothing(empty):
     assert mixing.mix_sources(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
