@@ -318,6 +318,21 @@ def frequent_tokens(reps: DataFrame, share: float = FREQUENT) -> tuple[np.ndarra
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one document of each group."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, percent).where("not kept").select(F.col("doc_id").alias(id_col))
-    return without_ids(docs, materialise(gone, "gone"), id_col)
+    """The rows of ``docs`` that stay, with all their columns: one row of each
+    group, that of the smallest id (null ids last), and rows without words.
+
+    If an id is null or repeated, rows are numbered in order of (id, row hash)
+    first, which sorts the documents once, and groups are those of numbers; so
+    repeated rows and rows without an id are judged like others.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names, strict=True))
+    plain, key = docs.toDF(*names), own[id_col]
+    odd = plain.groupBy(F.col(key).cast("long").alias("id")).agg(F.count("*").alias("n")).where("id is null or n > 1")
+    if not odd.isEmpty():
+        # the last key only spreads equal rows
+        order = [F.col(key).cast("long").asc_nulls_last(), F.xxhash64(*names), F.monotonically_increasing_id()]
+        ordered = plain.select("*", *[x.alias(f"_o{k}") for k, x in enumerate(order[1:])]).orderBy(order[0], "_o0", "_o1")
+        plain, key = materialise(ordered.select(*names, F.monotonically_increasing_id().alias("_number")), "numbered"), "_number"
+    gone = near_duplicates(plain, key, own[text_col], shingle, percent).where("not kept").select(F.col("doc_id").alias(key))
+    return without_ids(plain, materialise(gone, "gone"), key).select(*names).toDF(*docs.columns)

@@ -72,6 +72,15 @@ def test_one_of_each_group_stays(edge):
     assert {r.doc_id for r in out.collect()} >= {1, 4, 5, 6, 9, None} and out.where("doc_id in (2, 3, 14, 16)").count() == 0
 
 
+def test_one_row_of_null_and_repeated_ids_stays(spark):
+    text = [" ".join(f"t{k}w{j}" for j in range(60)) for k in range(6)]
+    rows = [(5, text[0])] * 4 + [(None, text[0] + " tail"), (None, text[1]), (None, text[1]), (None, text[1] + " tail"), (3, text[2]), (3, text[3]), (2, text[3] + " tail"), (4, text[4]), (None, text[5])]
+    rows += [(None, None), (None, None), (6, ""), (6, "")]
+    out = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted((r.doc_id or 0, (r.text or "").split(" ")[0]) for r in out)
+    assert got == [(0, ""), (0, ""), (0, "t1w0"), (0, "t5w0"), (2, "t3w0"), (3, "t2w0"), (4, "t4w0"), (5, "t0w0"), (6, ""), (6, "")]
+
+
 def test_least_collisions_bounds_the_miss():
     from math import comb
 
