@@ -102,6 +102,11 @@ class Model:
     slope: float
     shift: float
 
+    @property
+    def fitted(self) -> bool:
+        """Whether there were rows of both classes to learn from."""
+        return bool(self.weights.any())
+
     def margin(self, x: np.ndarray) -> float:
         return float(self.weights[x].sum(dtype=np.float64) / max(1e-9, np.sqrt(self.squares[x].sum(dtype=np.float64)))) + self.bias
 
@@ -253,8 +258,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the classifier does
-    not reject. Rows are scored and dropped where they are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, **options))
+    not reject. Rows are scored and dropped where they are read. If there are no
+    usable labels of both classes, no classifier is fitted and all rows stay."""
+    model = learn(docs, labels, id_col, text_col, **options)
+    if not model.fitted:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,6 +48,13 @@ def test_without_two_classes(spark, documents, rows, share):
     assert {round(r.score, 6) for r in quality.quality_scores(documents, known).collect()} == {round(share, 6)}
 
 
+@pytest.mark.parametrize("rows", [[], [(k, None, 0) for k in range(30)], [(k, 0, 0) for k in range(30)]])
+def test_all_rows_stay_without_a_classifier(spark, documents, rows):
+    known = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    out = quality.keep_good(documents, known)
+    assert out.columns == documents.columns and sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in documents.collect())
+
+
 def test_descent_separates():
     rng = np.random.default_rng(0)
     rows = [(np.unique(np.concatenate([rng.integers(10, 200, 15), [k % 2]])).astype(np.int64), k % 2) for k in range(200)]
