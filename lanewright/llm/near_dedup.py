@@ -8,7 +8,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewright.llm.common import materialise, only_ids, without_ids
@@ -18,9 +18,19 @@ from lanewright.llm.hashing import U, buffers, chunks, mix, ngram_hashes, slices
 #: Coordinates of a signature (a power of two: the coordinate's number takes
 #: the low bits of a token, the least hash value the rest).
 COORDINATES = 16
-#: Most documents of one block of a posting list; longer lists are split into
-#: blocks, and every pair of blocks is a group of its own.
+#: Lists of more documents are long: they are contracted around pivots before
+#: what is left of them is compared.
 BLOCK = 256
+#: Documents of one cell of a long list, and shingles of them, on average.
+CELL = 512
+CELL_SHINGLES = 1 << 20
+#: Pivots that a long list offers in a round, and rounds at most. They only
+#: save comparisons: what they leave is compared whole.
+PIVOTS = 64
+ROUNDS = 3
+#: Links of one task that are made a forest at once, which bounds the links of
+#: a node there.
+FOREST = 20_000
 #: A token is frequent if it stands in this share of all signatures. There are
 #: COORDINATES / FREQUENT frequent tokens at most (16,000), which bounds the
 #: broadcast to 256 KB.
@@ -93,20 +103,26 @@ def _post(hot: np.ndarray, rank: np.ndarray, prefix: int):
         for f in frames:
             tokens = np.frombuffer(b"".join(f["tokens"]), U).reshape(-1, COORDINATES)
             first = np.argsort(_order(tokens, hot, rank), axis=1)[:, :prefix]
-            yield pd.DataFrame({"token": np.take_along_axis(tokens, first, 1).ravel().view(np.int64), "digest": np.repeat(f["digest"].to_numpy(), prefix)})
+            again = {c: np.repeat(f[c].to_numpy(), prefix) for c in ("digest", "rep")}
+            yield pd.DataFrame({"token": np.take_along_axis(tokens, first, 1).ravel().view(np.int64)} | again)
 
     return run
 
 
+def _like(size: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether set sizes allow for the similarity."""
+    return 100 * np.minimum(size, other) >= percent * np.maximum(size, other)
+
+
 def _matches(block: pd.DataFrame, hot: np.ndarray, rank: np.ndarray, least: int, percent: int) -> np.ndarray:
     """(x, y) positions in a block of the pairs that it has to confirm.
 
     A pair counts its collisions over the whole signature, and belongs to its
-    first common token alone, so no pair is confirmed in two lists. Pairs
-    whose set sizes rule the similarity out are left.
+    first common token alone, so no pair is confirmed in two lists. Pairs of
+    one class, and pairs whose set sizes rule the similarity out, are left.
     """
     tokens = np.frombuffer(b"".join(block["tokens"]), U).reshape(-1, COORDINATES)
-    size = block["n_shingles"].to_numpy()
+    size, label = block["n_shingles"].to_numpy(), block["label"].to_numpy()
     key = _order(tokens, hot, rank)
     here = _order(np.array([block["token"].iat[0]], np.int64).view(U), hot, rank)[0]
     n = len(block)
@@ -115,11 +131,13 @@ def _matches(block: pd.DataFrame, hot: np.ndarray, rank: np.ndarray, least: int,
         same = tokens[:, k, None] == tokens[None, :, k]
         count += same
         np.minimum(first, np.where(same, key[:, k, None], _LAST), out=first)
-    ok = (count >= least) & (first == here)
-    ok &= 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
-    if block["i"].iat[0] != block["j"].iat[0]:
-        side = block["side"].to_numpy()
-        ok &= side[:, None] < side
+    ok = (count >= least) & (first == here) & (label[:, None] != label)
+    ok &= _like(size[:, None], size, percent)
+    if block["long"].iat[0]:
+        # visitors meet the cell's own; two that both go visiting meet once
+        visits, other = block["visits"].to_numpy(bool), block["other"].to_numpy(bool)
+        name = np.unique(block["digest"].to_numpy(), return_inverse=True)[1]
+        ok &= visits[:, None] & ~visits & (~other | (name[:, None] < name))
     else:
         ok = np.triu(ok, 1)
     return np.argwhere(ok)
@@ -147,6 +165,7 @@ def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
 
 
 _KEYS = ["token", "i", "j"]
+_BLOCK = "token long, i int, j int, long boolean, visits boolean, other boolean, digest binary, rep long, label long, n_shingles long, tokens binary"
 
 
 def _collide(hot: np.ndarray, rank: np.ndarray, least: int, percent: int):
@@ -168,6 +187,57 @@ def _collide(hot: np.ndarray, rank: np.ndarray, least: int, percent: int):
     return run
 
 
+_MET = "token long, cell int, digest binary, rep long, label long, pivot boolean, n_shingles long"
+
+
+def _meet(least: int, percent: int):
+    """The documents of a cell that may be like one of its pivots, and those pivots."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in _groups(frames, ["token", "cell"]):
+            pairs = _pivot_pairs(cell, percent)
+            if len(pairs):
+                tokens = np.frombuffer(b"".join(cell["tokens"]), U).reshape(-1, COORDINATES)
+                pairs = pairs[(tokens[pairs[:, 0]] == tokens[pairs[:, 1]]).sum(axis=1) >= least]
+            if len(pairs):
+                yield cell.drop(columns="tokens").iloc[np.unique(pairs)]
+
+    return run
+
+
+def _pivot_pairs(cell: pd.DataFrame, percent: int) -> np.ndarray:
+    size, label, pivot = cell["n_shingles"].to_numpy(), cell["label"].to_numpy(), cell["pivot"].to_numpy(bool)
+    x, y = np.flatnonzero(~pivot), np.flatnonzero(pivot)
+    at = np.argwhere((label[x][:, None] != label[y]) & _like(size[x][:, None], size[y], percent))
+    return np.stack([x[at[:, 0]], y[at[:, 1]]], 1)
+
+
+def _confirm_stars(percent: int):
+    """Links between the pivots of a cell and its documents."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges: list[tuple[int, int]] = []
+        for cell in _groups(frames, ["token", "cell"]):
+            edges += _linked(cell, _pivot_pairs(cell, percent), percent)
+            if len(edges) > FOREST:
+                yield _forest(edges)
+                edges = []
+        yield _forest(edges)
+
+    return run
+
+
+def _linked(block: pd.DataFrame, pairs: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """The ids of the pairs whose full sets are similar."""
+    if not len(pairs):
+        return iter(())
+    sets = [np.frombuffer(s, U) for s in block["shingles"]]
+    size, reps = block["n_shingles"].to_numpy(), block["rep"].to_numpy()
+    both = _shared(sets, pairs)
+    links = pairs[100 * both >= percent * (size[pairs[:, 0]] + size[pairs[:, 1]] - both)]
+    return zip(reps[links[:, 0]].tolist(), reps[links[:, 1]].tolist(), strict=True)
+
+
 def _shared(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """Size of the intersection of each pair of sets."""
     if len(pairs) <= 2 * len(sets):
@@ -210,16 +280,8 @@ def _confirm(hot: np.ndarray, rank: np.ndarray, least: int, percent: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges: list[tuple[int, int]] = []
         for block in _groups(frames, _KEYS):
-            pairs = _matches(block, hot, rank, least, percent)
-            if not len(pairs):
-                continue
-            sets = [np.frombuffer(s, U) for s in block["shingles"]]
-            size, reps = block["n_shingles"].to_numpy(), block["rep"].to_numpy()
-            both = _shared(sets, pairs)
-            union = size[pairs[:, 0]] + size[pairs[:, 1]] - both
-            links = pairs[100 * both >= percent * union]
-            edges += zip(reps[links[:, 0]].tolist(), reps[links[:, 1]].tolist(), strict=True)
-            if len(edges) > 200_000:
+            edges += _linked(block, _matches(block, hot, rank, least, percent), percent)
+            if len(edges) > FOREST:
                 yield _forest(edges)
                 edges = []
         yield _forest(edges)
@@ -243,6 +305,101 @@ def _sets(n: int):
     return run
 
 
+def _sets_of(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(digest, shingles) of the texts of ``ids``, once each."""
+    return only_ids(rows, ids, "doc_id").select("text").mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
+
+
+def _cell(cells: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64("digest", F.lit(salt)), F.col(cells)).cast("int")
+
+
+def _open_lists(tagged: DataFrame) -> DataFrame:
+    """(token, top, cells, seats) of the lists that hold several classes: the
+    class with most rows, the cells of all rows, and those of all other rows."""
+    sizes = tagged.groupBy("token", "label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
+    cells = lambda n, w: F.ceil(F.greatest(n / F.lit(CELL), w / F.lit(CELL_SHINGLES))).cast("int")
+    lists = sizes.groupBy("token").agg(F.sum("m").alias("n"), F.sum("w").alias("v"), F.max(F.struct("m", "label", "w")).alias("t"), F.count("*").alias("labels"))
+    return lists.where("labels > 1").select("token", F.col("t.label").alias("top"), cells(F.col("n"), F.col("v")).alias("cells"), cells(F.col("n") - F.col("t.m"), F.col("v") - F.col("t.w")).alias("seats"))
+
+
+def _labelled(posts: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """``posts`` with the class known so far of each document."""
+    if classes is None:
+        return posts.withColumn("label", F.col("rep"))
+    found = posts.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    return found.withColumn("label", F.coalesce("component", "rep")).drop("component")
+
+
+def _star_links(big: DataFrame, reps: DataFrame, sets: DataFrame, classes: DataFrame, least: int, percent: int, turn: int) -> DataFrame | None:
+    """Links between documents of long lists and pivots of these lists; None if
+    no list holds two classes.
+
+    Each document outside its list's largest class goes to one of its open
+    lists, by a hash of the token that like documents agree on. PIVOTS rows of
+    the list, spread by hash, are copied to all its cells and are compared with
+    the documents there, which carry their sets once.
+    """
+    tagged = _labelled(big, classes)
+    tagged = materialise(tagged.join(_open_lists(tagged), "token"), "open")
+    if tagged.isEmpty():
+        return None
+    own = F.struct("token", "cells")
+    near = tagged.where("label <> top").groupBy("digest", "rep", "label", "n_shingles").agg(F.min_by(own, F.xxhash64("token", F.lit(turn))).alias("t"))
+    near = near.select("digest", "rep", "label", "n_shingles", "t.token", _cell("t.cells", 7).alias("cell"), F.lit(False).alias("pivot"))
+    seat = F.pmod(F.xxhash64("digest", F.lit(100 + turn)), F.lit(PIVOTS))
+    seats = tagged.groupBy("token", seat).agg(F.min_by(F.struct("digest", "rep", "label", "n_shingles"), F.xxhash64("digest", F.lit(200 + turn))).alias("p"), F.max("cells").alias("cells"))
+    pivots = seats.join(near.select("token").distinct(), "token", "left_semi")
+    pivots = pivots.select("p.*", "token", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("pivot"))
+    rows = near.unionByName(pivots).join(reps.select("digest", "tokens"), "digest")
+    rows = rows.select(*[c.split()[0] for c in _MET.split(", ")], "tokens").repartition("token", "cell").sortWithinPartitions("token", "cell")
+    met = materialise(rows.mapInPandas(_meet(least, percent), _MET), "met")
+    full = met.join(sets, "digest").repartition("token", "cell").sortWithinPartitions("token", "cell")
+    return materialise(full.mapInPandas(_confirm_stars(percent), "a long, b long"), "stars")
+
+
+def contracted(rows: DataFrame, reps: DataFrame, big: DataFrame, least: int, percent: int, shingle: int) -> DataFrame:
+    """(node, component) from the stars of long lists, in ROUNDS at most: true
+    links, but not all of them."""
+    big = materialise(big.join(reps.select("digest", "n_shingles"), "digest"), "long")
+    members = materialise(big.select(F.col("rep").alias("doc_id")).distinct(), "members")
+    sets = materialise(_sets_of(rows, members, shingle), "sets")
+    classes = rows.sparkSession.createDataFrame([], "node long, component long")
+    for turn in range(ROUNDS):
+        stars = _star_links(big, reps, sets, classes, least, percent, turn)
+        if stars is None or stars.isEmpty():
+            break
+        classes = connected_components(stars.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))), "classes")
+    return classes
+
+
+def blocks(posts: DataFrame, lists: DataFrame, reps: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Rows of the groups whose pairs are compared, see _BLOCK.
+
+    A list of BLOCK rows or less is a group. Of a longer list the k rows
+    outside its largest class visit its cells, CELL at a time. A list of one
+    class has no rows.
+    """
+    kept = ["token", "digest", "rep", "label"]
+    whole = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("long"), F.lit(False).alias("visits"), F.lit(True).alias("other")]
+    listed = _labelled(posts.join(lists, "token"), classes)
+    if classes is None:
+        out = listed.select(*kept, *whole)
+    else:
+        listed = materialise(listed, "listed")
+        short = listed.where(F.col("n") <= BLOCK)
+        mixed = short.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+        short = short.join(mixed, "token", "left_semi").select(*kept, *whole)
+        long = listed.where(F.col("n") > BLOCK).drop("n").join(reps.select("digest", "n_shingles"), "digest")
+        long = long.join(_open_lists(long), "token").withColumn("other", F.col("label") != F.col("top"))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        own = long.select(*kept, "other", _cell("cells", 5).alias("i"), every("seats").alias("j"), F.lit(True).alias("long"), F.lit(False).alias("visits"))
+        guests = long.where("other").select(*kept, "other", every("cells").alias("i"), _cell("seats", 6).alias("j"), F.lit(True).alias("long"), F.lit(True).alias("visits"))
+        out = short.unionByName(own).unionByName(guests)
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
+    return out.join(reps.select("digest", "n_shingles", "tokens"), "digest").select(*names)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -263,36 +420,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        the first COORDINATES - m + 1 of any global order of tokens; frequent
        tokens come last in it, so long lists are skipped where that loses
        nothing. ``least_collisions`` sets m.
-    3. Lists of one document are dropped before signatures travel; lists over
-       BLOCK documents are split, each pair of blocks a group. A group counts
-       the collisions of its pairs and retains documents with a match.
-    4. Retained pairs are confirmed on full shingle sets, each pair in the
+    3. Lists over BLOCK documents, as large groups of near copies make them,
+       are contracted: documents are confirmed against pivots of their list,
+       and linked ones are a class from here on (``contracted``).
+    4. Lists of one document or class are dropped before signatures travel. A
+       group counts the collisions of its pairs of different classes and
+       retains documents with a match.
+    5. Retained pairs are confirmed on full shingle sets, each pair in the
        list of its first common token only.
-    5. Links become components in rounds of joins.
+    6. Links become components in rounds of joins.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(rows.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, digest binary, tokens binary"), "signed")
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest")
-    reps = materialise(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "reps")
+    sets = signed.where("digest is not null and doc_id is not null").groupBy("digest")
+    reps = materialise(sets.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "reps")
     least = least_collisions(percent)
     hot, rank = frequent_tokens(reps)
 
-    posts = materialise(reps.select("digest", "tokens").mapInPandas(_post(hot, rank, COORDINATES - least + 1), "token long, digest binary"), "posts")
+    post = _post(hot, rank, COORDINATES - least + 1)
+    posts = materialise(reps.select("digest", "rep", "tokens").mapInPandas(post, "token long, digest binary, rep long"), "posts")
     lists = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    places = posts.join(lists, "token").select("token", "digest", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    # block numbers do not depend on the order of the rows
-    own = F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int")
-    places = places.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    places = places.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "digest")
-    schema = "token long, i int, j int, side int, digest binary, rep long, n_shingles long, tokens binary"
-    blocks = places.join(reps, "digest").select("token", "i", "j", "side", "digest", "rep", "n_shingles", "tokens")
-    blocks = blocks.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
-    retained = materialise(blocks.mapInPandas(_collide(hot, rank, least, percent), schema), "retained")
+    long = materialise(lists.where(F.col("n") > BLOCK).select("token"), "long")
+    classes = None if long.isEmpty() else contracted(rows, reps, posts.join(long, "token"), least, percent, shingle)
+
+    dealt = blocks(posts, lists, reps, classes).repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
+    retained = materialise(dealt.mapInPandas(_collide(hot, rank, least, percent), _BLOCK), "retained")
 
     involved = materialise(retained.select(F.col("rep").alias("doc_id")).distinct(), "involved")
-    sets = only_ids(rows, involved, "doc_id").select("text").mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
-    full = retained.join(sets, "digest").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
+    full = retained.join(_sets_of(rows, involved, shingle), "digest").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
     links = full.mapInPandas(_confirm(hot, rank, least, percent), "a long, b long")
+    if classes is not None:
+        links = links.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
     reached = connected_components(links, "near").withColumnRenamed("node", "rep")
 
     named = reps.join(reached, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))

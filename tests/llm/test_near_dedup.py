@@ -47,21 +47,46 @@ def test_documents(documents):
     assert result(near_dedup.near_duplicates(documents, shingle=3, percent=85)) == brute(rows, 3, 85)
 
 
-def test_large_group_over_many_blocks(spark):
-    """Edited copies of one text, more than a block holds: links at either side
-    of the threshold, over exact sets."""
-    rng = random.Random(3)
-    base = [f"w{k}" for k in range(120)]
+def edited(n, words, edits, seed=3):
+    rng = random.Random(seed)
     rows = []
-    for k in range(420):
-        w = list(base)
-        for _ in range(rng.randrange(1, 7)):
-            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+    for k in range(n):
+        w = [f"w{j}" for j in range(words)]
+        for _ in range(rng.randrange(1, edits + 1)):
+            w[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
         rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("pivots,rounds", [(64, 3), (1, 1), (0, 0)])
+def test_large_group_over_many_cells(spark, monkeypatch, pivots, rounds):
+    """Edited copies of two texts, more than a list may hold, with links at
+    either side of the threshold: exact sets decide, whatever pivots find."""
+    for name, value in {"BLOCK": 100, "CELL": 60, "PIVOTS": max(1, pivots), "ROUNDS": rounds}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = edited(420, 120, 6) + [(1000 + i, t.replace("w7 ", "v7 ")) for i, t in edited(150, 120, 3, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert result(near_dedup.near_duplicates(docs, shingle=3, percent=85)) == brute(rows, 3, 85)
 
 
+def test_rows_grow_with_the_group_not_with_its_square(spark, monkeypatch):
+    """Near copies of one text, edits at random: every table and every group of
+    pairs to compare grows in proportion to the copies."""
+    sums = {}
+    write, blocks = near_dedup.materialise, near_dedup.blocks
+
+    def counted(df, n):
+        sums[n] = sums.get(n, 0) + df.count()
+        return df
+
+    for n in (1000, 2000):
+        monkeypatch.setattr(near_dedup, "materialise", lambda df, label, n=n: counted(write(df, label), n))
+        monkeypatch.setattr(near_dedup, "blocks", lambda *a, n=n: counted(blocks(*a), n))
+        out = near_dedup.near_duplicates(spark.createDataFrame(edited(n, 60, 1), "doc_id long, text string").repartition(4))
+        assert out.where("kept").count() == 1
+    assert sums[2000] < 2.5 * sums[1000]
+
+
 def test_nothing(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
