@@ -22,12 +22,11 @@ COORDINATES = 16
 #: what is left of them is compared.
 BLOCK = 256
 #: Documents of one cell of a long list, and shingles of them, on average.
-CELL = 512
+CELL = 2048
 CELL_SHINGLES = 1 << 20
-#: Pivots that a long list offers in a round, and rounds at most. They only
-#: save comparisons: what they leave is compared whole.
-PIVOTS = 64
-ROUNDS = 3
+#: Pivots of a long list. They only save comparisons: what they leave is
+#: compared whole.
+PIVOTS = 128
 #: Links of one task that are made a forest at once, which bounds the links of
 #: a node there.
 FOREST = 20_000
@@ -103,7 +102,7 @@ def _post(hot: np.ndarray, rank: np.ndarray, prefix: int):
         for f in frames:
             tokens = np.frombuffer(b"".join(f["tokens"]), U).reshape(-1, COORDINATES)
             first = np.argsort(_order(tokens, hot, rank), axis=1)[:, :prefix]
-            again = {c: np.repeat(f[c].to_numpy(), prefix) for c in ("digest", "rep")}
+            again = {c: np.repeat(f[c].to_numpy(), prefix) for c in ("digest", "rep", "n_shingles")}
             yield pd.DataFrame({"token": np.take_along_axis(tokens, first, 1).ravel().view(np.int64)} | again)
 
     return run
@@ -125,22 +124,29 @@ def _matches(block: pd.DataFrame, hot: np.ndarray, rank: np.ndarray, least: int,
     size, label = block["n_shingles"].to_numpy(), block["label"].to_numpy()
     key = _order(tokens, hot, rank)
     here = _order(np.array([block["token"].iat[0]], np.int64).view(U), hot, rank)[0]
-    n = len(block)
-    count, first = np.zeros((n, n), np.uint8), np.full((n, n), _LAST)
-    for k in range(COORDINATES):
-        same = tokens[:, k, None] == tokens[None, :, k]
-        count += same
-        np.minimum(first, np.where(same, key[:, k, None], _LAST), out=first)
-    ok = (count >= least) & (first == here) & (label[:, None] != label)
-    ok &= _like(size[:, None], size, percent)
-    if block["long"].iat[0]:
+    long = block["long"].iat[0]
+    if long:
         # visitors meet the cell's own; two that both go visiting meet once
         visits, other = block["visits"].to_numpy(bool), block["other"].to_numpy(bool)
         name = np.unique(block["digest"].to_numpy(), return_inverse=True)[1]
-        ok &= visits[:, None] & ~visits & (~other | (name[:, None] < name))
+        rows, columns = np.flatnonzero(visits), np.flatnonzero(~visits)
     else:
-        ok = np.triu(ok, 1)
-    return np.argwhere(ok)
+        rows = columns = np.arange(len(block))
+    found = []
+    for a in range(0, len(rows), 256):
+        x = rows[a : a + 256]
+        shape = len(x), len(columns)
+        count, first = np.zeros(shape, np.uint8), np.full(shape, _LAST)
+        for k in range(COORDINATES):
+            same = tokens[x, k, None] == tokens[columns, k]
+            count += same
+            np.minimum(first, np.where(same, key[x, k, None], _LAST), out=first)
+        ok = (count >= least) & (first == here) & (label[x, None] != label[columns])
+        ok &= _like(size[x, None], size[columns], percent)
+        ok &= (~other[columns] | (name[x, None] < name[columns])) if long else (x[:, None] < columns)
+        at = np.argwhere(ok)
+        found.append(np.stack([x[at[:, 0]], columns[at[:, 1]]], 1))
+    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
 
 def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -213,16 +219,12 @@ def _pivot_pairs(cell: pd.DataFrame, percent: int) -> np.ndarray:
 
 
 def _confirm_stars(percent: int):
-    """Links between the pivots of a cell and its documents."""
+    """Links between the documents of a cell and its pivots: (document, pivot),
+    and (pivot, pivot) where a document links two."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges: list[tuple[int, int]] = []
         for cell in _groups(frames, ["token", "cell"]):
-            edges += _linked(cell, _pivot_pairs(cell, percent), percent)
-            if len(edges) > FOREST:
-                yield _forest(edges)
-                edges = []
-        yield _forest(edges)
+            yield _forest(list(_linked(cell, _pivot_pairs(cell, percent), percent)), set(cell.loc[cell["pivot"], "rep"].tolist()))
 
     return run
 
@@ -242,26 +244,28 @@ def _shared(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """Size of the intersection of each pair of sets."""
     if len(pairs) <= 2 * len(sets):
         return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in pairs], np.int64)
-    # many pairs: one matrix product over the shingles that two sets or more have
+    # many pairs: matrix products over the shingles that two sets or more have
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, where, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    where, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
     rank = np.cumsum(many > 1) - 1
     use = many[where] > 1
     row, col = row[use], rank[where[use]]
     by = np.argsort(col, kind="stable")
     row, col = row[by], col[by]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
+    (x, left), (y, right) = (np.unique(pairs[:, k], return_inverse=True) for k in (0, 1))
+    out = np.zeros((len(x), len(y)), np.float32)
+    width = 1024
     for a in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
         lo, hi = np.searchsorted(col, [a, a + width])
         m = np.zeros((len(sets), width), np.float32)
         m[row[lo:hi], col[lo:hi] - a] = 1
-        out += m @ m.T
-    return out[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+        out += m[x] @ m[y].T
+    return out[left, right].astype(np.int64)
 
 
-def _forest(edges: list[tuple[int, int]]) -> pd.DataFrame:
-    """The same components with at most one edge a node."""
+def _forest(edges: list[tuple[int, int]], centres: set[int] = frozenset()) -> pd.DataFrame:
+    """The same components with at most one edge (a, b) a node: b is the least
+    of the component's ``centres``, if it has any, else its least node."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -272,7 +276,8 @@ def _forest(edges: list[tuple[int, int]]) -> pd.DataFrame:
     for x, y in edges:
         x, y = root(x), root(y)
         if x != y:
-            parent[max(x, y)] = min(x, y)
+            x, y = sorted((x, y), key=lambda k: (k not in centres, k))
+            parent[y] = x
     return pd.DataFrame([(x, root(x)) for x in parent if root(x) != x], columns=["a", "b"], dtype=np.int64)
 
 
@@ -307,97 +312,65 @@ def _sets(n: int):
 
 def _sets_of(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(digest, shingles) of the texts of ``ids``, once each."""
-    return only_ids(rows, ids, "doc_id").select("text").mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
+    return only_ids(rows, materialise(ids, "involved"), "doc_id").select("text").mapInArrow(_sets(shingle), "digest binary, shingles binary").dropDuplicates(["digest"])
 
 
 def _cell(cells: str, salt: int) -> Column:
     return F.pmod(F.xxhash64("digest", F.lit(salt)), F.col(cells)).cast("int")
 
 
-def _open_lists(tagged: DataFrame) -> DataFrame:
-    """(token, top, cells, seats) of the lists that hold several classes: the
-    class with most rows, the cells of all rows, and those of all other rows."""
-    sizes = tagged.groupBy("token", "label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
-    cells = lambda n, w: F.ceil(F.greatest(n / F.lit(CELL), w / F.lit(CELL_SHINGLES))).cast("int")
-    lists = sizes.groupBy("token").agg(F.sum("m").alias("n"), F.sum("w").alias("v"), F.max(F.struct("m", "label", "w")).alias("t"), F.count("*").alias("labels"))
-    return lists.where("labels > 1").select("token", F.col("t.label").alias("top"), cells(F.col("n"), F.col("v")).alias("cells"), cells(F.col("n") - F.col("t.m"), F.col("v") - F.col("t.w")).alias("seats"))
+def _cells(n: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(n / F.lit(CELL), shingles / F.lit(CELL_SHINGLES))).cast("int")
 
 
-def _labelled(posts: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """``posts`` with the class known so far of each document."""
-    if classes is None:
-        return posts.withColumn("label", F.col("rep"))
-    found = posts.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.withColumn("label", F.coalesce("component", "rep")).drop("component")
+def star_links(rows: DataFrame, reps: DataFrame, big: DataFrame, least: int, percent: int, shingle: int) -> DataFrame:
+    """(a, b) links from documents of long lists to pivots of these lists: true
+    links, but not all of them.
 
-
-def _star_links(big: DataFrame, reps: DataFrame, sets: DataFrame, classes: DataFrame, least: int, percent: int, turn: int) -> DataFrame | None:
-    """Links between documents of long lists and pivots of these lists; None if
-    no list holds two classes.
-
-    Each document outside its list's largest class goes to one of its open
-    lists, by a hash of the token that like documents agree on. PIVOTS rows of
-    the list, spread by hash, are copied to all its cells and are compared with
-    the documents there, which carry their sets once.
+    Each document goes to one of its long lists, by a hash of the token that
+    like documents agree on. PIVOTS documents of a list, spread by hash, are
+    copied to all its cells and are compared on full sets with the documents
+    there, so a document carries its set once.
     """
-    tagged = _labelled(big, classes)
-    tagged = materialise(tagged.join(_open_lists(tagged), "token"), "open")
-    if tagged.isEmpty():
-        return None
-    own = F.struct("token", "cells")
-    near = tagged.where("label <> top").groupBy("digest", "rep", "label", "n_shingles").agg(F.min_by(own, F.xxhash64("token", F.lit(turn))).alias("t"))
-    near = near.select("digest", "rep", "label", "n_shingles", "t.token", _cell("t.cells", 7).alias("cell"), F.lit(False).alias("pivot"))
-    seat = F.pmod(F.xxhash64("digest", F.lit(100 + turn)), F.lit(PIVOTS))
-    seats = tagged.groupBy("token", seat).agg(F.min_by(F.struct("digest", "rep", "label", "n_shingles"), F.xxhash64("digest", F.lit(200 + turn))).alias("p"), F.max("cells").alias("cells"))
-    pivots = seats.join(near.select("token").distinct(), "token", "left_semi")
-    pivots = pivots.select("p.*", "token", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("pivot"))
-    rows = near.unionByName(pivots).join(reps.select("digest", "tokens"), "digest")
-    rows = rows.select(*[c.split()[0] for c in _MET.split(", ")], "tokens").repartition("token", "cell").sortWithinPartitions("token", "cell")
-    met = materialise(rows.mapInPandas(_meet(least, percent), _MET), "met")
-    full = met.join(sets, "digest").repartition("token", "cell").sortWithinPartitions("token", "cell")
-    return materialise(full.mapInPandas(_confirm_stars(percent), "a long, b long"), "stars")
-
-
-def contracted(rows: DataFrame, reps: DataFrame, big: DataFrame, least: int, percent: int, shingle: int) -> DataFrame:
-    """(node, component) from the stars of long lists, in ROUNDS at most: true
-    links, but not all of them."""
-    big = materialise(big.join(reps.select("digest", "n_shingles"), "digest"), "long")
-    members = materialise(big.select(F.col("rep").alias("doc_id")).distinct(), "members")
-    sets = materialise(_sets_of(rows, members, shingle), "sets")
-    classes = rows.sparkSession.createDataFrame([], "node long, component long")
-    for turn in range(ROUNDS):
-        stars = _star_links(big, reps, sets, classes, least, percent, turn)
-        if stars is None or stars.isEmpty():
-            break
-        classes = connected_components(stars.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))), "classes")
-    return classes
-
-
-def blocks(posts: DataFrame, lists: DataFrame, reps: DataFrame, classes: DataFrame | None) -> DataFrame:
+    signed, columns = reps.select("digest", "tokens"), [c.split()[0] for c in _MET.split(", ")]
+    big = big.withColumn("cells", _cells(F.col("n"), F.col("v"))).withColumn("label", F.col("rep"))
+    row = F.struct("rep", "label", "n_shingles", "token", "cells")
+    near = big.groupBy("digest").agg(F.min_by(row, F.xxhash64("token")).alias("p")).join(signed, "digest")
+    near = near.select("digest", "tokens", "p.*").select("*", _cell("cells", 7).alias("cell"), F.lit(False).alias("pivot"))
+    seat = F.pmod(F.xxhash64("digest", F.lit(100)), F.lit(PIVOTS))
+    seats = big.groupBy("token", seat).agg(F.min_by(F.struct("digest", "rep", "label", "n_shingles", "cells"), F.xxhash64("digest", F.lit(200))).alias("p"))
+    seats = seats.select("token", "p.*").join(signed, "digest")
+    pivots = seats.select("*", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("pivot"))
+    met = near.unionByName(pivots).select(*columns, "tokens").repartition("token", "cell").sortWithinPartitions("token", "cell")
+    met = materialise(met.mapInPandas(_meet(least, percent), _MET), "met")
+    full = met.join(_sets_of(rows, met.select(F.col("rep").alias("doc_id")).distinct(), shingle), "digest")
+    full = full.repartition("token", "cell").sortWithinPartitions("token", "cell")
+    return full.mapInPandas(_confirm_stars(percent), "a long, b long")
+
+
+def blocks(posts: DataFrame, lists: DataFrame, reps: DataFrame, big: DataFrame | None) -> DataFrame:
     """Rows of the groups whose pairs are compared, see _BLOCK.
 
-    A list of BLOCK rows or less is a group. Of a longer list the k rows
-    outside its largest class visit its cells, CELL at a time. A list of one
+    A list of BLOCK rows or less is a group. Of a longer list the rows outside
+    its largest class visit its cells, about CELL at a time. A long list of one
     class has no rows.
     """
-    kept = ["token", "digest", "rep", "label"]
     whole = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("long"), F.lit(False).alias("visits"), F.lit(True).alias("other")]
-    listed = _labelled(posts.join(lists, "token"), classes)
-    if classes is None:
-        out = listed.select(*kept, *whole)
-    else:
-        listed = materialise(listed, "listed")
-        short = listed.where(F.col("n") <= BLOCK)
-        mixed = short.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-        short = short.join(mixed, "token", "left_semi").select(*kept, *whole)
-        long = listed.where(F.col("n") > BLOCK).drop("n").join(reps.select("digest", "n_shingles"), "digest")
-        long = long.join(_open_lists(long), "token").withColumn("other", F.col("label") != F.col("top"))
-        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        own = long.select(*kept, "other", _cell("cells", 5).alias("i"), every("seats").alias("j"), F.lit(True).alias("long"), F.lit(False).alias("visits"))
-        guests = long.where("other").select(*kept, "other", every("cells").alias("i"), _cell("seats", 6).alias("j"), F.lit(True).alias("long"), F.lit(True).alias("visits"))
-        out = short.unionByName(own).unionByName(guests)
-    names = [c.split()[0] for c in _BLOCK.split(", ")]
-    return out.join(reps.select("digest", "n_shingles", "tokens"), "digest").select(*names)
+    out = posts.join(lists.where(F.col("n") <= BLOCK), "token").select("token", "digest", *whole)
+    if big is not None:
+        tagged = big.join(reps.select("digest", "label"), "digest")
+        sizes = tagged.groupBy("token", "label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
+        top = F.max(F.struct("m", "label", "w")).alias("t")
+        open_ = sizes.groupBy("token").agg(F.sum("m").alias("n"), F.sum("w").alias("v"), top, F.count("*").alias("labels")).where("labels > 1")
+        open_ = open_.select("token", F.col("t.label").alias("top"), _cells(F.col("n"), F.col("v")).alias("cells"), _cells(F.col("n") - F.col("t.m"), F.col("v") - F.col("t.w")).alias("seats"))
+        long = tagged.join(open_, "token").withColumn("other", F.col("label") != F.col("top"))
+        every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+        place = lambda i, j, v: F.struct(i.alias("i"), j.alias("j"), F.lit(v).alias("visits"))
+        home = F.transform(every("seats"), lambda j: place(_cell("cells", 5), j, False))
+        away = F.when(F.col("other"), F.transform(every("cells"), lambda i: place(i, _cell("seats", 6), True))).otherwise(F.array())
+        long = long.withColumn("at", F.explode(F.concat(home, away)))
+        out = out.unionByName(long.select("token", "digest", "at.i", "at.j", F.lit(True).alias("long"), "at.visits", "other"))
+    return out.join(reps, "digest").select(*[c.split()[0] for c in _BLOCK.split(", ")])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -422,10 +395,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        nothing. ``least_collisions`` sets m.
     3. Lists over BLOCK documents, as large groups of near copies make them,
        are contracted: documents are confirmed against pivots of their list,
-       and linked ones are a class from here on (``contracted``).
-    4. Lists of one document or class are dropped before signatures travel. A
-       group counts the collisions of its pairs of different classes and
-       retains documents with a match.
+       and linked ones are a class from here on (``star_links``).
+    4. Lists of one document, and long lists of one class, are dropped before
+       signatures travel. A group counts the collisions of its pairs of
+       different classes and retains documents with a match (``blocks``).
     5. Retained pairs are confirmed on full shingle sets, each pair in the
        list of its first common token only.
     6. Links become components in rounds of joins.
@@ -438,19 +411,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot, rank = frequent_tokens(reps)
 
     post = _post(hot, rank, COORDINATES - least + 1)
-    posts = materialise(reps.select("digest", "rep", "tokens").mapInPandas(post, "token long, digest binary, rep long"), "posts")
-    lists = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    long = materialise(lists.where(F.col("n") > BLOCK).select("token"), "long")
-    classes = None if long.isEmpty() else contracted(rows, reps, posts.join(long, "token"), least, percent, shingle)
-
-    dealt = blocks(posts, lists, reps, classes).repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
+    posts = materialise(reps.select("digest", "rep", "n_shingles", "tokens").mapInPandas(post, "token long, digest binary, rep long, n_shingles long"), "posts")
+    lists = posts.groupBy("token").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("v")).where("n > 1")
+    big = materialise(posts.join(lists.where(F.col("n") > BLOCK), "token"), "long")
+    labelled, stars = reps.withColumn("label", F.col("rep")), None
+    if big.isEmpty():
+        big = None
+    else:
+        stars = materialise(star_links(rows, reps, big, least, percent, shingle), "stars")
+        # pivots of one document hang on the least of them; two steps up name the class
+        low = stars.groupBy("a").agg(F.min("b").alias("m"))
+        up = stars.join(low, "a").where("b <> m").select(F.col("b").alias("a"), "m").unionByName(low)
+        one = up.groupBy(F.col("a").alias("rep")).agg(F.min("m").alias("b"))
+        two = one.join(one.select(F.col("rep").alias("b"), F.col("b").alias("c")), "b", "left").select("rep", F.coalesce("c", "b").alias("label"))
+        labelled = materialise(reps.join(two, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "classes")
+
+    dealt = blocks(posts, lists, labelled, big).repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
     retained = materialise(dealt.mapInPandas(_collide(hot, rank, least, percent), _BLOCK), "retained")
 
-    involved = materialise(retained.select(F.col("rep").alias("doc_id")).distinct(), "involved")
-    full = retained.join(_sets_of(rows, involved, shingle), "digest").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
+    full = retained.join(_sets_of(rows, retained.select(F.col("rep").alias("doc_id")).distinct(), shingle), "digest")
+    full = full.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "digest")
     links = full.mapInPandas(_confirm(hot, rank, least, percent), "a long, b long")
-    if classes is not None:
-        links = links.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    if stars is not None:
+        links = links.unionByName(stars)
     reached = connected_components(links, "near").withColumnRenamed("node", "rep")
 
     named = reps.join(reached, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
