@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import ascii_lower, materialise, shuffle_parts, text_or_empty
+from lanewright.llm.common import ascii_lower, keyed_rows, materialise, shuffle_parts, text_or_empty
 
 #: A digest is frequent from this share of the rows on. There can be no more
 #: than 1/SUPPORT such digests, which bounds what is broadcast (about 1 MB),
@@ -77,6 +77,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: one row of each
+    group, that of the largest id (a null id only where the group has no
+    other, and of rows with one id the one of the greatest row hash)."""
+    plain, names, key = keyed_rows(docs, id_col, nulls_first=True)
+    keep = exact_duplicates(plain, key, names[docs.columns.index(text_col)]).where("kept").select(F.col("doc_id").alias(key))
+    return plain.join(keep, key, "left_semi").select(*names).toDF(*docs.columns)

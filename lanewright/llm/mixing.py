@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import materialise, text_or_empty
+from lanewright.llm.common import CONTENT, content_rows, exploded, materialise
 
 #: No document is taken more often than this.
 MOST_COPIES = 3
@@ -99,17 +99,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text has size 0; documents without words get copies like others and
     take no words. Null sources are one source, weighed last. The order within
-    one size is (id hash cell, id): rows with equal ids are interchangeable.
+    one size is (cell of the id, id): rows with equal ids are dealt over the
+    cells and interchangeable.
     No rows give no rows. Positions are found without ordering a source in one
     task: counts per (source, size, cell) are summed first, and only rows of
     one cell, about WINDOW_ROWS of them, are ranked together.
     """
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *keys), "words")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *keys)
+    rows = materialise(exploded(narrow), "words")
     targets = materialise(balance(source_targets(rows, most)), "targets")
     small = targets.count() <= BROADCAST_SOURCES
     cells = int(rows.count() // WINDOW_ROWS + 1)
     cell = ["source", "size", "_cell"]
-    rows = rows.withColumn("_cell", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(cells)))
+    rows = rows.withColumn("_cell", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)) + F.col("_copy") - 1, F.lit(cells)))
     counts = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
     # first over the sizes of a source, then over the cells of a size
     sized = counts.groupBy("source", "size").agg(F.sum("_n").alias("_m"))
@@ -128,7 +130,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     offsets = counts.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
     offsets = offsets.alias("o").join(sized.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source")) & (F.col("o.size") == F.col("s.size")))
     offsets = offsets.select("o.source", "o.size", "o._cell", (F.col("_ahead") + F.col("_inner")).alias("_offset"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("doc_id", *keys)))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("doc_id", *keys, "_copy")))
     same = F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.size") == F.col("o.size")) & (F.col("r._cell") == F.col("o._cell"))
     placed = ranked.alias("r").join(offsets.alias("o"), same).select("r.doc_id", *[f"r.{k}" for k in keys], "r.source", "r.size", (F.col("_offset") + F.col("_rank")).alias("_at"))
     hint = F.broadcast if small else (lambda x: x)
@@ -140,18 +142,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST_COPIES) -> DataFrame:
     """``docs`` with each row repeated by its copies; rows of 0 copies go.
 
-    Rows are told apart by hashes of the id and of the whole row, so rows with
-    a null id and rows that repeat an id have copies of their own. Fully equal
-    rows are interchangeable: they share the sum of their copies evenly.
+    Rows are told apart by 128 bits of their content, so rows with a null id
+    and rows that repeat an id have copies of their own; fully equal rows share
+    the sum of their copies. Null texts and sources, empty tables and columns
+    of any name are as in ``mix_sources``.
     """
-    names = [f"c{k}" for k in range(len(docs.columns))]
+    keyed, names = content_rows(docs)
     own = dict(zip(docs.columns, names, strict=True))
-    plain = docs.toDF(*names)
-    keyed = plain.select("*", F.xxhash64(own[id_col]).alias("_id"), F.xxhash64(*names).alias("_row"))
-    keys = ("_id", "_row")
-    copies = mix_sources(keyed, own[id_col], own[text_col], own[source_col], most, keys).groupBy(*keys).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
-    # the join has dealt the rows by the window's keys
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_n"))
-    each = F.floor(F.col("_sum") / F.col("_n")) + (number <= F.col("_sum") % F.col("_n")).cast("int")
-    out = keyed.join(copies.where("_sum > 0"), list(keys)).withColumn("_copies", each.cast("int")).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*names).toDF(*docs.columns)
+    copies = mix_sources(keyed, own[id_col], own[text_col], own[source_col], most, tuple(CONTENT))
+    copies = copies.groupBy(*CONTENT).agg(F.sum("copies").alias("_sum")).where("_sum > 0")
+    # the join finds its rows dealt by content already
+    out = keyed.dropDuplicates(CONTENT).join(copies, CONTENT)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_sum"))).select(*names).toDF(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import materialise, only_ids, without_ids
+from lanewright.llm.common import keyed_rows, materialise, only_ids, without_ids
 from lanewright.llm.components import connected_components
 from lanewright.llm.hashing import U, buffers, chunks, mix, ngram_hashes, slices, word_hashes
 
@@ -466,14 +466,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first, which sorts the documents once, and groups are those of numbers; so
     repeated rows and rows without an id are judged like others.
     """
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    own = dict(zip(docs.columns, names, strict=True))
-    plain, key = docs.toDF(*names), own[id_col]
-    odd = plain.groupBy(F.col(key).cast("long").alias("id")).agg(F.count("*").alias("n")).where("id is null or n > 1")
-    if not odd.isEmpty():
-        # the last key only spreads equal rows
-        order = [F.col(key).cast("long").asc_nulls_last(), F.xxhash64(*names), F.monotonically_increasing_id()]
-        ordered = plain.select("*", *[x.alias(f"_o{k}") for k, x in enumerate(order[1:])]).orderBy(order[0], "_o0", "_o1")
-        plain, key = materialise(ordered.select(*names, F.monotonically_increasing_id().alias("_number")), "numbered"), "_number"
-    gone = near_duplicates(plain, key, own[text_col], shingle, percent).where("not kept").select(F.col("doc_id").alias(key))
+    plain, names, key = keyed_rows(docs, id_col)
+    gone = near_duplicates(plain, key, names[docs.columns.index(text_col)], shingle, percent).where("not kept").select(F.col("doc_id").alias(key))
     return without_ids(plain, materialise(gone, "gone"), key).select(*names).toDF(*docs.columns)

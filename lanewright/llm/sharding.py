@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import materialise, text_or_empty, utf8_size
+from lanewright.llm.common import CONTENT, content_rows, exploded, materialise, text_or_empty, utf8_size
 
 #: Rows of one source bucket, and of one bucket of a shard, on average. The
-#: number of buckets stops at MOST_BUCKETS, which bounds the matrix: 8192 x 40
-#: counts of 8 bytes are 2.6 MB.
-BUCKET_ROWS = 20_000
+#: number of buckets depends on the rows alone, not on the cluster, and stops at
+#: MOST_BUCKETS, which bounds the matrix: 8192 x 40 counts of 8 bytes are 2.6 MB.
+BUCKET_ROWS = 4_000
 MOST_BUCKETS = 8192
 
 
@@ -50,7 +50,7 @@ def assign_shards(rows: DataFrame, shards: int = 40, seed: int = 11) -> DataFram
     spark = rows.sparkSession
     columns = rows.columns
     total = rows.count()
-    buckets = int(min(MOST_BUCKETS, max(1, -(-total // BUCKET_ROWS), spark.sparkContext.defaultParallelism)))
+    buckets = int(min(MOST_BUCKETS, max(1, -(-total // BUCKET_ROWS))))
     dealt = rows.withColumn("_bucket", F.pmod(_hash(columns, seed), F.lit(buckets)).cast("int"))
     counts = {r["_bucket"]: r["n"] for r in dealt.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}  # at most MOST_BUCKETS rows
     sizes = [counts.get(k, 0) for k in range(buckets)]
@@ -84,34 +84,29 @@ def shard_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The law is `rows`: shard counts at most one apart. Equal texts are spread
     like any other rows. size is the UTF-8 bytes plus 16; a null text has none
-    and a checksum of 0. Texts are read once; only narrow rows are exchanged.
+    and a checksum of 0. Null and repeated ids are ids like others; no rows give
+    no rows. Texts are read once; only narrow rows are exchanged.
     """
     text = text_or_empty(text_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), (utf8_size(text) + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = assign_shards(materialise(narrow, "sizes"), shards, seed)
+    placed = assign_shards(materialise(exploded(narrow), "sizes"), shards, seed)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", shards: int = 40, seed: int = 11) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 11) -> DataFrame:
     """``docs`` with all its columns plus shard and slot.
 
-    Only two numbers a row travel through the two permutations: a hash of the
-    id, and the row's number among the rows of that hash. They find the texts
-    again in one join. Rows that repeat an id are numbered by the rest of the
-    row; fully equal rows are interchangeable. A column of docs named shard or
-    slot is replaced.
+    Only three numbers a row travel through the two permutations: 128 bits that
+    name its content, and its number among equal rows, which comes from their
+    count. They find the rows again in one join; of equal rows one travels.
+    Null and repeated ids are like others. A column of docs named shard or slot
+    is replaced. No rows give no rows.
     """
     docs = docs.drop("shard", "slot")
-    columns = docs.columns
-    names = [f"c{k}" for k in range(len(columns))]
-    plain = docs.toDF(*names)
-    row = F.xxhash64(*names)
-    keyed = plain.withColumn("_key", F.xxhash64(names[columns.index(id_col)]))
-    number = F.row_number().over(Window.partitionBy("_key").orderBy("_row"))
-    narrow = materialise(keyed.select("_key", row.alias("_row")), "rows").withColumn("_copy", number).select("_key", "_copy")
-    placed = assign_shards(materialise(narrow, "ids"), shards, seed)
-    numbered = keyed.withColumn("_row", row).withColumn("_copy", number)
-    return numbered.join(placed, ["_key", "_copy"]).select(*names, "shard", "slot").toDF(*columns, "shard", "slot")
+    keyed, names = content_rows(docs)
+    narrow = materialise(exploded(keyed.select(*CONTENT)), "rows")
+    placed = assign_shards(narrow, shards, seed).select(*CONTENT, "shard", "slot")
+    return keyed.dropDuplicates(CONTENT).join(placed, CONTENT).select(*names, "shard", "slot").toDF(*docs.columns, "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

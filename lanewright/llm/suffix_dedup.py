@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import materialise, only_ids
+from lanewright.llm.common import keyed_rows, materialise, only_ids
 from lanewright.llm.hashing import CHUNK_BYTES, Prefix, U, buffers, chunks, mix, slices
 
 #: Bytes of the first rank; the sampled position carries it.
@@ -259,10 +259,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte is removed if a string of ``length`` bytes that covers it also
     starts earlier: in a document of a smaller id, or earlier in the same one.
     Strings are judged on the input, and lie within one document. A null text
-    is empty; texts under ``length`` bytes lose nothing. Documents with a null
-    id, or whose id stands on rows with different texts, are judged alone: they
-    lose nothing and cost others nothing. Rows that repeat an id and its text
-    are one document, and all get its result. No rows give no rows.
+    is empty; texts under ``length`` bytes lose nothing. If an id is null or
+    repeated, every row is a document of its own, in order of (id, row hash),
+    null ids last. No rows give no rows; other columns are not read.
 
     Prefix doubling ranks the strings that start at a position by ever longer
     prefixes, and drops what is unique. Here positions are sampled first (see
@@ -283,13 +282,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Ranks are 64-bit names; contexts are equal if 128 bits agree.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    clear = rows.where("doc_id is not null")
-    code = F.xxhash64("text")
-    several = materialise(clear.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(code).alias("x"), F.max(code).alias("y")).where("n > 1"), "several")
-    if not several.isEmpty():
-        clear = clear.join(several.where("x <> y"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return _with_ranges(docs, id_col, text_col, length, first).mapInArrow(_apply(length), _SPANS)
 
+
+def _with_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, first: int) -> DataFrame:
+    """(doc_id, text, ranges): the first places (lo, hi) of repeated strings."""
+    plain, (own, text), key = keyed_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id")
+    rows = plain.select(F.col(key).alias("doc_id"), F.col(own).alias("own"), F.col(text).alias("text"))
+    clear = rows.select("doc_id", "text")
     ranks = clear.where(F.octet_length("text") >= length).mapInArrow(_rank_batches(length, first), _RANKS).repartition("rank")
     known = F.col("at") < 0
     place = F.row_number().over(Window.partitionBy("rank", "context").orderBy("doc", "at"))
@@ -315,22 +315,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     repeats = settled.where("repeat").select("doc", "lo", "hi").unionByName(windows.where("settled").select("doc", "lo", "hi")).unionByName(late)
     by_doc = repeats.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_apply(length), _SPANS)
+    return rows.join(by_doc, "doc_id", "left").select(F.col("own").alias("doc_id"), "text", "ranges")
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """(doc_id, text): each text without its repeated strings. A character that
-    loses some of its bytes goes as a whole."""
+    """(doc_id, text): each row's text without its repeated strings. A character
+    that loses some of its bytes goes as a whole."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for text, starts, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                kept = b"".join(raw[a:b] for a, b in zip([0, *(ends or [])], [*(starts or []), len(raw)], strict=True))
+            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = text.encode()
+                lo, hi = (np.array([r[c] for r in ranges or []], np.int64) for c in ("lo", "hi"))
+                starts, ends = spans_of(len(raw), lo, hi, length)
+                kept = b"".join(raw[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)], strict=True))
                 out.append(kept.decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    spans = repeated_spans(docs, id_col, text_col, length).where("n_removed > 0").select("doc_id", "starts", "ends").dropDuplicates(["doc_id"])
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "starts", "ends").mapInArrow(cut, "doc_id long, text string")
+    return _with_ranges(docs, id_col, text_col, length, FIRST).mapInArrow(cut, "doc_id long, text string")

@@ -40,3 +40,11 @@ def test_nothing(empty):
 def test_kept_rows_keep_their_columns(edge):
     out = exact_dedup.drop_exact_duplicates(edge)
     assert out.columns == edge.columns and out.where("doc_id in (2, 3)").count() == 2 and out.where("doc_id = 1").count() == 0
+
+
+def test_null_and_repeated_ids_keep_one_row_of_each_text(spark):
+    rows = [(None, "a", "x"), (None, "A", "y"), (1, "b", "x"), (1, "b", "x"), (1, "c", "x"), (2, "B", "z"), (None, "b", "n"), (None, None, "e"), (3, "", "e")]
+    out = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string, c0 string").repartition(3))
+    assert out.columns == ["doc_id", "text", "c0"]
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in out.collect()), key=str)
+    assert got == [(1, "c"), (2, "b"), (3, ""), (None, "a")]

@@ -88,5 +88,15 @@ def test_null_and_repeated_ids_keep_their_own_copies(spark):
     assert targets["a"] < sizes["a"] / 2 and all(abs(taken[s] - t) <= 14 for s, t in targets.items())
 
 
+def test_columns_of_any_name_keep_their_values(spark):
+    names = ["_copy", "_copies", "_sum", "_content1", "copies", "c0", "_n"]
+    rows = [(k, "w " * 10, "ab"[k % 2], *[f"{n}{k}" for n in names]) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) <= set(rows) and 28 <= len(got) <= 32
+
+
 def test_nothing(empty):
     assert mixing.mix_sources(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
