@@ -163,13 +163,19 @@ def seed_tables(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id
     items = benchmark.where(F.col(item_col).isNotNull() & F.col("text").isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-size // PASS_BYTES) or 1
+
+    def part(k: int) -> list[tuple[int, np.ndarray]]:
+        rows = sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect())  # about PASS_BYTES
+        return [(i, w) for (i, _), w in zip(rows, _words(pa.array([t for _, t in rows], pa.string())), strict=True)]
+
+    # the words of all passes are counted in one scan of the corpus
+    wanted = np.empty(0, U)
     for k in range(passes):
-        part = sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect())  # about PASS_BYTES
-        words = list(_words(pa.array([t for _, t in part], pa.string())))
-        wanted = np.unique(np.concatenate(words)) if words else np.empty(0, U)
-        if len(wanted):
-            seeds = Seeds([(i, w) for (i, _), w in zip(part, words, strict=True)], wanted, word_shares(texts.select("text"), wanted))
-            yield texts.sparkSession.sparkContext.broadcast(seeds)
+        wanted = np.unique(np.concatenate([wanted, *[w for _, w in part(k)]]))
+    if len(wanted):
+        shares = word_shares(texts.select("text"), wanted)
+        for k in range(passes):
+            yield texts.sparkSession.sparkContext.broadcast(Seeds(part(k), wanted, shares))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", least: float = SCORE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +14,17 @@ from lanewright.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes,
 
 #: Words of a shingle, and the share of a notice's shingles that a window must hold.
 SHINGLE, CONTAINED = 5, 0.8
-#: Bands of one row each. A window holds under 4 times the shingles of a notice
+#: A step has SPARE times a notice's shingles or more, so that words may be
+#: put in between without the notice leaving its window.
+SPARE = 1.5
+#: Bands of one row each. A window holds under 6 times the shingles of a notice
 #: (LEAST_STEP of it for the shortest), so a notice of which 0.8 are there has a
-#: similarity of 0.19 or more with it, and shares a band with a probability of
-#: 1 - 0.81**64 > 1 - 2e-6.
-BANDS = 64
+#: similarity of 0.129 or more with it, and shares a band with a probability of
+#: 1 - 0.871**96 > 1 - 2e-6.
+BANDS = 96
+#: Two notices are in one place if they share this part of the shingles of the
+#: lesser; the one that explains more shingles is reported.
+SAME_PLACE = 0.5
 #: Shingles of the shortest step of windows; the others double.
 LEAST_STEP = 2
 
@@ -44,17 +51,41 @@ TEMPLATES = {
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
         "substantial portions of the Software."
     ),
-    "BSD-3-Clause text": (
+    "BSD-2-Clause text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
+    "BSD-2-Clause numbered text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution."
+    ),
+    "BSD-3-Clause text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "BSD-3-Clause numbered text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
     "ISC text": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies."
     ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "GPL-2.0-only notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as "
+        "published by the Free Software Foundation."
+    ),
     "GPL-2.0-or-later notice": (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
@@ -63,6 +94,29 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "LGPL-2.1-or-later notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0-or-later notice": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-or-later notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "BSL-1.0 text": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative '
+        "works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright "
+        "notices in the Software and this entire statement must be included in all copies of the Software."
+    ),
+    "Zlib text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions."
+    ),
     "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
     "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
     "MPL-2.0": (
@@ -98,6 +152,25 @@ def _band(shingles: np.ndarray, k: int) -> np.ndarray:
     return (z ^ (z >> W(15))) * W(0x9E3779B1)
 
 
+def step_of(shingles: int) -> int:
+    """The step of windows for a notice: the next power of two from SPARE times
+    its shingles on."""
+    return max(LEAST_STEP, 1 << (math.ceil(SPARE * shingles) - 1).bit_length())
+
+
+def best_places(found: list[tuple[int, int, float, np.ndarray]], sizes: list[int]) -> list[tuple[int, int, float, np.ndarray]]:
+    """Of (text, notice, containment, positions of its shingles), those that are
+    not in one place with a notice that explains more: most shingles found less
+    those missing, then the larger share, then the first place and name."""
+    worth = lambda f: (f[0], -sizes[f[1]] * (2 * f[2] - 1), -f[2], int(f[3][0]), f[1])
+    kept: list[tuple[int, int, float, np.ndarray]] = []
+    for f in sorted(found, key=worth):
+        rivals = [g for g in kept if g[0] == f[0] and g[3][0] <= f[3][-1] and f[3][0] <= g[3][-1]]
+        if not any(len(np.intersect1d(f[3], g[3], assume_unique=True)) > SAME_PLACE * min(len(f[3]), len(g[3])) for g in rivals):
+            kept.append(f)
+    return kept
+
+
 class Templates:
     """Shingles of the notices and their band values, by step of windows; and
     the whole word sequences of phrases and of notices of under SHINGLE words."""
@@ -117,7 +190,7 @@ class Templates:
             elif len(words):
                 self.phrases.setdefault(len(words), {})[int(ngram_hashes(words, first, len(words))[0][0])] = name
         self.phrases = dict(sorted(self.phrases.items(), reverse=True))
-        step = [max(LEAST_STEP, 1 << (len(s) - 1).bit_length()) for s in self.sets]
+        step = [step_of(len(s)) for s in self.sets]
         #: step -> notices, and for each band their values
         self.by_step = {}
         for one in sorted(set(step)):
@@ -151,8 +224,8 @@ class Templates:
                     taken[w] = True
                     yield t, names[name], x, x + n
 
-    def scan(self, grams: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
-        """(text, notice, containment, first, last+1 shingle of the window)."""
+    def scan(self, grams: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, float, np.ndarray]]:
+        """(text, notice, containment, positions of its shingles) of each window."""
         if not len(grams) or not self.by_step:
             return
         # blocks of one step within a text; the next step's are pairs of them. A
@@ -185,7 +258,7 @@ class Templates:
             b = int(min(a + 2 * step, begin[text[w] + 1]))
             share = np.isin(self.sets[t], grams[a:b]).mean()
             if share >= CONTAINED:
-                yield int(text[w]), t, float(share), a - int(begin[text[w]]), b - int(begin[text[w]])
+                yield int(text[w]), t, float(share), np.flatnonzero(np.isin(grams[a:b], self.sets[t])) + a - int(begin[text[w]])
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
@@ -193,11 +266,14 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     a window of a document holds CONTAINED of the five-word shingles or more.
 
     Words are runs of letters and digits with A-Z lowered. Windows of two steps
-    overlap by one step; a notice's step is the next power of two from its
-    number of shingles on, so each run of words that could be the notice lies
-    whole in a window. MinHash bands retrieve the notices of a window, exact
-    containment confirms them. The best window of a document and notice is
-    returned, the first of equals. Whole texts are scanned, and not shuffled.
+    overlap by one step; a notice's step is the next power of two from SPARE
+    times its shingles on, so a run of words that could be the notice, with
+    half as many words put in between, lies whole in a window. MinHash bands
+    retrieve the notices of a window, exact containment confirms them. Of
+    notices in one place only the best is reported, so versions of one licence
+    are told apart (``best_places``); of places of one notice the best, the
+    first of equals. start_word and end_word enclose its shingles. Whole texts
+    are scanned, and not shuffled.
 
     Notices of under five words, and all ``phrases`` (by default none; op9 asks
     for PHRASES), are found where their words stand one after the other, in
@@ -219,7 +295,8 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
             for a, _, part, at in chunks(data, offs):
                 words, first = word_hashes(part, at, IS_LETTER)
                 grams, begin = ngram_hashes(words, first, SHINGLE)
-                found = [(text, known.names[t], share, x, y + SHINGLE - 1) for text, t, share, x, y in known.scan(grams, begin)]
+                places = best_places(list(known.scan(grams, begin)), [len(s) for s in known.sets])
+                found = [(text, known.names[t], share, int(at[0]), int(at[-1]) + SHINGLE) for text, t, share, at in places]
                 found += [(text, name, 1.0, x, y) for text, name, x, y in known.find(words, first)]
                 best: dict[tuple[int, str], tuple[float, int, int]] = {}
                 for text, name, share, x, y in found:

@@ -196,9 +196,11 @@ def fit(labelled: DataFrame) -> Model:
             x = [f.astype(np.int32).tobytes() for f in features(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], ["x", "label"])
 
-    # the bounded sample: rows of least hash, found by their hashes alone
-    last = rows.select("order").orderBy("order").limit(FIT_ROWS + CALIBRATE_ROWS).agg(F.max("order")).first()[0]
-    chosen = rows.where(F.col("order") <= F.lit(last)).select("text", "label").mapInArrow(sample, "x binary, label int").collect()
+    # the bounded sample: distinct rows of least hash, found by their hashes alone
+    own = rows.select(F.struct("order", F.xxhash64("text").alias("text"), "label").alias("own"), "text", "label")
+    last = own.select("own").distinct().orderBy("own").limit(FIT_ROWS + CALIBRATE_ROWS).agg(F.max("own").alias("own"))
+    chosen = own.alias("o").join(F.broadcast(last.alias("l")), F.col("o.own") <= F.col("l.own")).groupBy("o.own").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    chosen = chosen.select("text", "label").mapInArrow(sample, "x binary, label int").collect()  # as many rows as the bound at most
     data = sorted(((r["x"], r["label"]) for r in chosen), key=lambda x: x)
     data = [(np.frombuffer(x, np.int32), label) for x, label in data]
     if len({label for _, label in data}) < 2:

@@ -17,8 +17,9 @@ from tokenizers import Tokenizer
 #: Entries of the broadcast table, and the longest pre-token in it.
 FREQUENT = 50_000
 LONGEST = 48
-#: Rows, and bytes of a row, of the sample that fills the table at most. The
-#: table only saves time: counts do not depend on it.
+#: Rows of the sample that fills the table, as expected of a draw row by row
+#: (which equal texts do not sway), and bytes of a row at most. The table only
+#: saves time: counts do not depend on it.
 SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 1 << 20
 #: Entries of a worker's cache of misses before it starts afresh (about 60 MB).
@@ -96,9 +97,9 @@ def frequent_lengths(docs: DataFrame, text_col: str, counts: Counts) -> str:
         top = seen.most_common(2 * FREQUENT)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
-    every = max(1, docs.count() // SAMPLE_ROWS)
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
     text = F.col(text_col)
-    sample = docs.where(text.isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES) & (F.pmod(F.xxhash64(text), F.lit(every)) == 0)).select(text.alias("text"))
+    sample = docs.select(text.alias("text")).sample(share, seed=17).where(F.octet_length("text") <= SAMPLE_BYTES)
     top = sample.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
     table = {r["piece"]: counts.whole(r["piece"]) for r in top.collect()}  # at most FREQUENT rows
     table = {p: n for p, n in table.items() if n < 256}

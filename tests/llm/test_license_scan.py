@@ -14,16 +14,27 @@ def shingles(text):
 
 
 def brute(rows, templates):
-    """Every window of every notice's step, by exact containment."""
+    """Every window of every notice's step, by exact containment; then the best
+    of those that share more than half of the lesser one's positions."""
     notices = {name: set(shingles(t)) for name, t in templates.items()}
     out = set()
     for i, t in rows:
         s = shingles(t)
+        found = set()
         for name, want in notices.items():
             if want and any(x in want for x in s):
-                step = max(2, 1 << (len(want) - 1).bit_length())
-                if any(len(want & set(s[a : a + 2 * step])) >= 0.8 * len(want) for a in range(0, len(s), step)):
-                    out.add((i, name))
+                step = 2
+                while step < 1.5 * len(want):
+                    step *= 2
+                for a in range(0, len(s), step):
+                    share = len(want & set(s[a : a + 2 * step])) / len(want)
+                    if share >= 0.8:
+                        found.add((len(want) * (2 * share - 1), share, name, frozenset(k for k in range(a, min(len(s), a + 2 * step)) if s[k] in want)))
+        kept = []
+        for one in sorted(found, key=lambda f: (-f[0], -f[1], min(f[3]), list(templates).index(f[2]))):
+            if all(len(one[3] & k[3]) <= 0.5 * min(len(one[3]), len(k[3])) for k in kept):
+                kept.append(one)
+                out.add((i, one[2]))
     return out
 
 
@@ -52,6 +63,71 @@ def test_edited_notices_in_long_texts(spark):
         assert abs(len(want & set(shingles(" ".join(part)))) / len(want) - r.containment) < 1e-9
 
 
+# Openings of real files, with marks, line breaks and names that the templates do not have.
+HEADERS = {
+    "BSD-2-Clause": """ * Copyright (c) 2011, A. Writer
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ * ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED""",
+    "BSD-3-Clause": """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are met:
+//   * Redistributions of source code must retain the above copyright notice,
+//     this list of conditions and the following disclaimer.
+//   * Redistributions in binary form must reproduce the above copyright notice,
+//     this list of conditions and the following disclaimer in the documentation
+//     and/or other materials provided with the distribution.
+//   * Neither the name of Example Inc. nor the names of its contributors may be
+//     used to endorse or promote products derived from this software without
+//     specific prior written permission.
+// THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS""",
+    "GPL-2.0-or-later": """# mytool - does things. This program is free software; you can redistribute it
+# and/or modify it under the terms of the GNU General Public License
+# as published by the Free Software Foundation; either version 2
+# of the License, or (at your option) any later version.
+# This program is distributed in the hope that it will be useful,""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version. This program is distributed in the hope""",
+    "AGPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version. See the licence for more details""",
+    "LGPL-2.1-or-later": """ This library is free software; you can redistribute it and/or
+ modify it under the terms of the GNU Lesser General Public
+ License as published by the Free Software Foundation; either
+ version 2.1 of the License, or (at your option) any later version.
+ This library is distributed in the hope that it will be useful""",
+    "GPL-2.0-only": """/* This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License version 2 as
+ * published by the Free Software Foundation. */""",
+}
+
+
+def test_versions_of_a_licence_are_told_apart(spark):
+    names = sorted(HEADERS)
+    noise = " ".join(f"n{k}" for k in range(150))
+    rows = [(k, HEADERS[n]) for k, n in enumerate(names)] + [(100 + k, f"{noise} {HEADERS[n]} {noise}") for k, n in enumerate(names)]
+    rows += [(200, HEADERS["BSD-2-Clause"] + noise + HEADERS["GPL-3.0-or-later"])]
+    got = {}
+    for r in scan.licences(spark.createDataFrame(rows, "doc_id long, text string"), phrases=scan.PHRASES).collect():
+        got.setdefault(r.doc_id, []).append(re.sub(" (numbered )?(text|notice)$", "", r.license))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [n] for k, n in enumerate(names)} | {100 + k: [n] for k, n in enumerate(names)} | {200: ["BSD-2-Clause", "GPL-3.0-or-later"]}
+
+
+def test_notice_with_words_put_in_between(spark):
+    """At every offset; half a step of other words stand in the middle."""
+    words = scan.TEMPLATES["ISC text"].split()
+    rows = [(k, " ".join([f"a{j}" for j in range(k)] + words[:18] + [f"b{j}" for j in range(14)] + words[18:] + [f"c{j}" for j in range(90)])) for k in range(70)]
+    assert {r.doc_id for r in scan.licences(spark.createDataFrame(rows, "doc_id long, text string")).where("license = 'ISC text'").collect()} == set(range(70))
+
+
 def test_many_templates(spark):
     templates = {f"t{k}": " ".join(f"v{k}w{j}" for j in range(6 + k % 5)) for k in range(60)} | {"short": "too short"}
     rows = [(k, "x y z " + templates[f"t{k}"] + " x y z") for k in range(60)]
