@@ -78,8 +78,8 @@ def area_key(net, radius_m, lat, lon) -> Column:
 
 def address_key(q) -> Column:
     """Trimmed, lower case, runs of white space as one space."""
-    space = r"[\s\x{0B}\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-    return F.lower(F.regexp_replace(F.regexp_replace(_c(q), f"^{space}|{space}$", ""), space, " "))
+    space = " \t\n\x0b\f\r\xa0\ufeff\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+    return F.lower(F.regexp_replace(F.btrim(_c(q), F.lit(space)), f"[{space}]+", " "))
 
 
 def cooldown_left(now, last, window=COOLDOWN_MS) -> Column:

@@ -94,14 +94,34 @@ def nearest_odd(edges: DataFrame, k: int = solver.DEFAULT_K) -> DataFrame:
 
 
 def odd_distances(edges: DataFrame) -> DataFrame:
-    """(area_id, id, other, dist) between all odd nodes; null if out of reach."""
+    """(area_id, id, reached, nearest, farthest): of each odd node the number of
+    others in reach and the least and greatest distance to them."""
 
     def rows(net):
-        for u, row in solver.odd_distances(net).items():
-            for v, d in row.items():
-                yield net.ids[u], net.ids[v], None if d == float("inf") else d
+        odd = set(net.odd())
+        for u in sorted(odd):
+            far = [d for v, d in solver.spread(net, u) if v in odd and v != u]
+            yield net.ids[u], len(far), min(far, default=None), max(far, default=None)
+
+    return _each(edges, "area_id string, id string, reached long, nearest double, farthest double", rows)
+
+
+def nearest_target(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """(area_id, source, target, dist): the nearest over the network of the
+    targets in (area_id, source, targets array); of equally near ones the
+    smallest. A source that is a target is its own; null if none is in reach."""
+
+    def run(links: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        net = net_of(links)
+        for area, s, targets in wanted[["area", "source", "targets"]].itertuples(index=False):
+            inside = {net.index[t] for t in targets if t in net.index}
+            hit = solver.first_of(net, net.index[s], inside) if s in net.index else None
+            out.append((area, s, None if hit is None else net.ids[hit[0]], None if hit is None else hit[1]))
+        return pd.DataFrame(out, columns=["area_id", "source", "target", "dist"])
 
-    return _each(edges, "area_id string, id string, other string, dist double", rows)
+    both = edges.groupBy("area_id").cogroup(ends.select(F.col("area_id").alias("area"), "source", "targets").groupBy("area"))
+    return both.applyInPandas(run, "area_id string, source string, target string, dist double")
 
 
 def matching(edges: DataFrame, k: float | None = None) -> DataFrame:
@@ -169,19 +189,20 @@ def settled_zones(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return _with_nodes(edges, nodes, "area_id string, id string, zone int", lambda net, lat, lon: zip(net.ids, solver.settle(net, solver.cluster(lat, lon, k)[0]).tolist(), strict=True))
 
 
-def covered_by_zones(edges: DataFrame, nodes: DataFrame, kind: str, k: int) -> DataFrame:
-    """(area_id, bare, covered, cuts) if each zone is walked by itself: zones by
-    'one', 'kmeans', 'grown' or 'settled'."""
+def covered_by_zones(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(area_id, kind, bare, covered, cuts) if each zone is walked by itself, for
+    the zones of each kind: 'one', 'kmeans', 'grown' and 'settled'."""
 
     def rows(net, lat, lon):
-        zone = {"one": lambda: [0] * len(lat), "kmeans": lambda: solver.cluster(lat, lon, k)[0], "grown": lambda: solver.grow(net, lat, lon, k), "settled": lambda: solver.settle(net, solver.cluster(lat, lon, k)[0])}[kind]()
-        covered = 0.0
-        for z in sorted({int(zone[u]) for u, _ in net.length}):
-            part = solver.Net((net.ids[u], net.ids[v], d) for (u, v), d in net.length.items() if zone[u] == z)
-            covered += sum(part.length[e] * n for e, n in solver.augment(part).items())
-        yield net.total(), covered, sum(int(zone[u] != zone[v]) for u, v in net.length)
-
-    return _with_nodes(edges, nodes, "area_id string, bare double, covered double, cuts int", rows)
+        means = solver.cluster(lat, lon, k)[0]
+        for kind, zone in (("one", [0] * len(lat)), ("kmeans", means), ("grown", solver.grow(net, lat, lon, k)), ("settled", solver.settle(net, means))):
+            covered = 0.0
+            for z in sorted({int(zone[u]) for u, _ in net.length}):
+                part = solver.Net((net.ids[u], net.ids[v], d) for (u, v), d in net.length.items() if zone[u] == z)
+                covered += sum(part.length[e] * n for e, n in solver.augment(part).items())
+            yield kind, net.total(), covered, sum(int(zone[u] != zone[v]) for u, v in net.length)
+
+    return _with_nodes(edges, nodes, "area_id string, kind string, bare double, covered double, cuts int", rows)
 
 
 def matching_gap(edges: DataFrame) -> DataFrame:

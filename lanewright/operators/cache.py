@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright import schemas
 from lanewright.functions.scalar import COOLDOWN_MS, MAX_ENTRY_CHARS, TTL_MS, area_key, from_fixed7, to_fixed7
+from lanewright.operators.runs import in_order
 
 
 def slim(items: DataFrame) -> DataFrame:
@@ -57,23 +61,22 @@ def recency(uses: DataFrame, keys: list[str], at: str = "at", tie: str = "seq")
     return last.select(*keys, "key", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_u"))).alias("place"))
 
 
-def accepted(times: Column, window_ms: int = COOLDOWN_MS) -> Column:
-    """Which entries of an ordered array of times pass: those at least the window
-    after the last that passed."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<boolean>").alias("ok"))
+def cooldown_gate(events: DataFrame, keys: list[str], window_ms: int = COOLDOWN_MS) -> DataFrame:
+    """(keys.., seq, at, accepted) of (keys.., seq, at): an event passes if it is
+    at least the window after the last of its key that passed."""
 
-    def step(s: Column, t: Column) -> Column:
-        go = F.coalesce(t - s["last"] >= window_ms, F.lit(True))
-        return F.struct(F.when(go, t).otherwise(s["last"]).alias("last"), F.concat(s["ok"], F.array(go)).alias("ok"))
+    def fold():
+        last = None
 
-    return F.aggregate(times, start, step)["ok"]
+        def step(at: int) -> bool:
+            nonlocal last
+            go = last is None or at - last >= window_ms
+            last = at if go else last
+            return go
 
+        return step
 
-def cooldown_gate(events: DataFrame, keys: list[str], window_ms: int = COOLDOWN_MS) -> DataFrame:
-    """(keys.., seq, at, accepted) of (keys.., seq, at)."""
-    ordered = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("_e"))
-    zipped = ordered.select(*keys, F.explode(F.arrays_zip(F.col("_e").alias("e"), accepted(F.transform("_e", lambda e: e["at"]), window_ms).alias("ok"))).alias("_z"))
-    return zipped.select(*keys, F.col("_z.e.seq").alias("seq"), F.col("_z.e.at").alias("at"), F.col("_z.ok").alias("accepted"))
+    return in_order(events.select(*keys, "seq", "at"), keys, ["at", "seq"], fold, ["at"], "accepted", pa.bool_())
 
 
 def would_use_network(requests: DataFrame, places: DataFrame, areas: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
@@ -95,31 +98,43 @@ class Store:
 
     ``room`` is in characters. A put over ``most`` is refused before anything
     changes, so an old record survives it; a record past its age goes when it
-    is got, not when it is peeked at; a get renews use, not age.
+    is got, not when it is peeked at; a get renews use, not age. ``write`` and
+    ``remove`` reach the medium behind; a write that raises is like a store
+    without room (older records make way, and if none is left the put fails),
+    and a removal that raises is passed over.
     """
 
     room: int
     ttl_ms: int = TTL_MS
     most: int = MAX_ENTRY_CHARS
     clock: Callable[[], int] | None = None
-    records: dict[str, tuple[int, int, object]] = field(default_factory=dict)
-    order: list[str] = field(default_factory=list)
-
-    def used(self) -> int:
-        return sum(len(k) + size for k, (_, size, _) in self.records.items())
+    #: key -> (time, size, value), the least recently used first
+    records: OrderedDict[str, tuple[int, int, object]] = field(default_factory=OrderedDict)
+    used: int = 0
+    write: Callable[[str, object], None] = lambda key, value: None
+    remove: Callable[[str], None] = lambda key: None
+
+    def _fits(self, key: str, size: int, value: object) -> bool:
+        if self.used + len(key) + size > self.room:
+            return False
+        try:
+            self.write(key, value)
+        except Exception:  # the medium's own errors: full, gone, not allowed
+            return False
+        return True
 
     def put(self, key: str, size: int, at: int, value: object = None) -> tuple[bool, list[str]]:
         if size > self.most:
             return False, []
         self.drop(key)
         gone = []
-        while self.used() + len(key) + size > self.room:
-            if not self.order:
+        while not self._fits(key, size, value):
+            if not self.records:
                 return False, gone
-            gone.append(self.order[-1])
-            self.drop(self.order[-1])
+            gone.append(next(iter(self.records)))
+            self.drop(gone[-1])
         self.records[key] = at, size, value
-        self.order.insert(0, key)
+        self.used += len(key) + size
         return True, gone
 
     def peek(self, key: str, at: int) -> bool:
@@ -129,16 +144,17 @@ class Store:
         if not self.peek(key, at):
             self.drop(key)
             return False
-        self.order.remove(key)
-        self.order.insert(0, key)
+        self.records.move_to_end(key)
         return True
 
     def value(self, key: str) -> object:
         return self.records[key][2] if key in self.records else None
 
     def drop(self, key: str) -> None:
-        if self.records.pop(key, None) is not None:
-            self.order.remove(key)
+        if (old := self.records.pop(key, None)) is not None:
+            self.used -= len(key) + old[1]
+            with suppress(Exception):
+                self.remove(key)
 
 
 def replay(events: DataFrame, room: int, ttl_ms: int = TTL_MS, most: int = MAX_ENTRY_CHARS) -> DataFrame:

@@ -167,6 +167,35 @@ def cut_edges(edges: DataFrame, zones: DataFrame) -> DataFrame:
     return edges.join(a, ["area_id", "src"]).join(b, ["area_id", "dst"]).groupBy("area_id").agg(F.count_if(F.col("z1") != F.col("z2")).alias("cuts"))
 
 
+def csr(edges: DataFrame) -> DataFrame:
+    """(area_id, id, number, first, near, len): compressed rows of each area.
+
+    Nodes are numbered from 0 in id order; ``near`` and ``len`` are a node's
+    neighbours by number, in order, and the lengths to them; ``first`` is where
+    they start in the area's concatenation of all rows. A node's row holds its
+    own arcs alone; the running sums are over the nodes of one area.
+    """
+    w = Window.partitionBy("area_id").orderBy("id")
+    nodes = degrees(edges).select("area_id", "id", (F.row_number().over(w) - 1).alias("number"), (F.sum("degree").over(w) - F.col("degree")).alias("first"))
+    other = nodes.select("area_id", F.col("id").alias("v"), F.col("number").alias("to"))
+    rows = arcs(edges).join(other, ["area_id", "v"]).groupBy("area_id", F.col("u").alias("id")).agg(F.array_sort(F.collect_list(F.struct("to", "len"))).alias("a"))
+    return nodes.join(rows, ["area_id", "id"]).select("area_id", "id", "number", "first", F.col("a.to").alias("near"), F.col("a.len").alias("len"))
+
+
+def nearest_centroid(nodes: DataFrame, centres: list[tuple[int, float, float]]) -> DataFrame:
+    """``nodes`` with zone: the nearest of (zone, lat, lon), in plain squared
+    degrees; the lowest zone of equally near ones. The centres are literals of
+    the expression, so nothing is joined."""
+    far = [F.struct(planar2("lat", "lon", F.lit(y), F.lit(x)).alias("d2"), F.lit(z).alias("zone")) for z, y, x in centres]
+    return nodes.withColumn("zone", F.array_min(F.array(*far))["zone"])
+
+
+def edge_zones(edges: DataFrame, zones: DataFrame) -> DataFrame:
+    """(area_id, src, dst, len, zone): an edge belongs to the zone of its smaller
+    end, so no street falls between two zones."""
+    return edges.join(zones.select("area_id", F.col("id").alias("src"), "zone"), ["area_id", "src"]).select("area_id", "src", "dst", "len", "zone")
+
+
 def make_graph(spark, nodes: list[tuple], links: list[tuple], area_id: str = "g") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of plain lists (id, lat, lon[, ele]) and (u, v, len). Of a
     repeated node the last counts, of a repeated edge the shortest."""

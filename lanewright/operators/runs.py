@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from lanewright.functions.scalar import M_PER_MI, half_up, rounded
 
 
-def run_numbers(lengths: Column, cap) -> Column:
-    """The run of each entry of an ordered array: a new one starts where the sum
-    since the last start would pass the cap. A longer entry is its own run."""
-    cap = F.lit(cap) if not isinstance(cap, Column) else cap
-    start = F.struct(F.lit(0).alias("run"), F.lit(0.0).alias("total"), F.array().cast("array<int>").alias("runs"))
+def in_order(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[], Callable], inputs: list[str], result: str, kind: pa.DataType) -> DataFrame:
+    """``rows`` with a column ``result``: a fold along the rows of each key.
+
+    ``fold()`` gives a fresh function for a key; it takes a row's ``inputs``
+    and returns the row's result. Rows are dealt by key and sorted by Spark,
+    and pass in Arrow batches, so a key of any length needs no more memory than
+    a batch, and time in proportion to its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, step = None, fold()
+        for batch in batches:
+            out = []
+            key_rows = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            for key, *values in zip(key_rows, *(batch.column(c).to_pylist() for c in inputs), strict=True):
+                if key != held:
+                    held, step = key, fold()
+                out.append(step(*values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, result])
+
+    schema = StructType([*rows.schema.fields, StructField(result, from_arrow_type(kind))])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def split_runs(steps: DataFrame, keys: list[str], pos: str, length: str, cap: float) -> DataFrame:
+    """``steps`` with ``run`` (from 0): the walk of each key, cut by the cap. A
+    new run starts where the sum since the last start would pass it; a longer
+    step is a run by itself."""
 
-    def step(s: Column, d: Column) -> Column:
-        new = (F.size(s["runs"]) > 0) & (s["total"] + d > cap)
-        run = s["run"] + new.cast("int")
-        return F.struct(run.alias("run"), F.when(new, d).otherwise(s["total"] + d).alias("total"), F.concat(s["runs"], F.array(run)).alias("runs"))
+    def fold():
+        run, total = -1, 0.0
 
-    return F.aggregate(lengths, start, step)["runs"]
+        def step(d: float) -> int:
+            nonlocal run, total
+            if run < 0 or total + d > cap:
+                run, total = run + 1, 0.0
+            total += d
+            return run
 
+        return step
 
-def split_runs(steps: DataFrame, keys: list[str], pos: str, length: str, cap) -> DataFrame:
-    """``steps`` with ``run`` (from 0): the walk of each key, cut by the cap."""
-    rest = [c for c in steps.columns if c not in keys]
-    ordered = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, *[c for c in rest if c != pos]))).alias("_s"))
-    numbered = ordered.withColumn("_r", run_numbers(F.transform("_s", lambda s: s[length].cast("double")), cap))
-    out = numbered.select(*keys, F.explode(F.arrays_zip(F.col("_s").alias("s"), F.col("_r").alias("r"))).alias("_z"))
-    return out.select(*keys, *[F.col(f"_z.s.{c}").alias(c) for c in rest], F.col("_z.r").alias("run"))
+    return in_order(steps, keys, [pos], fold, [length], "run", pa.int32())
 
 
 def coordinates(walk: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -65,17 +91,17 @@ def run_table(walk: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select(*keys, "zone", rounded(F.col("length_m") / M_PER_MI, 2).alias("length_mi"), "length_m", "coords", "elev_gain_m", "elev_loss_m")
 
 
-def plan_stats(walk: DataFrame, runs: DataFrame, full_edges: DataFrame, contracted: DataFrame, requests: DataFrame) -> DataFrame:
-    """One row a request: intersections (nodes of the full network, as the name
-    has it), segments, bare_mi, covered_mi, overhead_pct, n_runs, zones,
-    total_gain_m, total_loss_m. A request without a street gets zeros."""
-    ends = full_edges.select("request_id", F.explode(F.array("src", "dst")).alias("id"))
-    n = ends.groupBy("request_id").agg(F.countDistinct("id").alias("intersections")).join(full_edges.groupBy("request_id").agg(F.count("*").alias("segments")), "request_id")
-    bare = contracted.groupBy("request_id").agg(F.sum("len").alias("bare"))
+def plan_stats(walk: DataFrame, runs: DataFrame, edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row a request: intersections (nodes of the area's planned network, as
+    the name has it), segments, bare_mi, covered_mi, overhead_pct, n_runs,
+    zones, total_gain_m, total_loss_m. A request without a street gets zeros."""
+    ends = edges.select("area_id", F.explode(F.array("src", "dst")).alias("id"))
+    n = ends.groupBy("area_id").agg(F.countDistinct("id").alias("intersections"))
+    bare = edges.groupBy("area_id").agg(F.count("*").alias("segments"), F.sum("len").alias("bare")).join(n, "area_id")
     done = walk.groupBy("request_id").agg(F.sum("len").alias("covered"), F.max("zones").alias("zones"))
     climb = runs.groupBy("request_id").agg(F.count("*").alias("n_runs"), F.sum("elev_gain_m").alias("total_gain_m"), F.sum("elev_loss_m").alias("total_loss_m"))
-    out = requests.select("request_id", "area_id")
-    for t in (n, bare, done, climb):
+    out = requests.select("request_id", "area_id").join(bare, "area_id", "left")
+    for t in (done, climb):
         out = out.join(t, "request_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     over = F.when(F.col("bare") > 0, rounded(100 * (F.col("covered") - F.col("bare")) / F.col("bare"), 1)).otherwise(0.0)

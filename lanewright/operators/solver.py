@@ -88,18 +88,28 @@ def first_of(net: Net, source: int, targets) -> tuple[int, float] | None:
 
 
 def route(net: Net, source: int, target: int) -> list[int] | None:
-    """A shortest path, of equal ones that through smaller nodes; or None."""
-    settled: dict[int, float] = {}
-    for u, d in spread(net, source):
-        settled[u] = d
-        if u == target:
-            break
-    if target not in settled:
+    """A shortest path, at each node from the smallest of equally near ones that
+    were settled before it; or None."""
+    reach, came, done = {source: 0.0}, {source: source}, set()
+    heap = [(0.0, source)]
+    while heap and target not in done:
+        d, u = heappop(heap)
+        if u in done:
+            continue
+        done.add(u)
+        for v, w in net.near[u]:
+            if v not in done:
+                before = reach.get(v, float("inf"))
+                if d + w < before:
+                    reach[v], came[v] = d + w, u
+                    heappush(heap, (d + w, v))
+                elif d + w == before:
+                    came[v] = min(came[v], u)
+    if target not in done:
         return None
     path = [target]
     while path[-1] != source:
-        at = path[-1]
-        path.append(min(v for v, w in net.near[at] if v in settled and settled[v] + w == settled[at] and settled[v] < settled[at]))
+        path.append(came[path[-1]])
     return path[::-1]
 
 
@@ -140,7 +150,8 @@ def match(net: Net, odd: list[int], k: float | None = None) -> list[tuple[int, i
 
 def swap(mate: dict[int, int], known: dict[tuple[int, int], float]) -> None:
     """Trade partners between two pairs where both new distances are known and
-    their sum is less; at most SWEEPS times over all nodes."""
+    their sum is less, the better way of the two; at most SWEEPS times over all
+    nodes."""
     far = lambda u, v: known.get((u, v) if u < v else (v, u))
     friends: dict[int, list[int]] = {}
     for u, v in sorted(known):
@@ -153,9 +164,10 @@ def swap(mate: dict[int, int], known: dict[tuple[int, int], float]) -> None:
                 b, d = mate[a], mate.get(c)
                 if d is None or c == b:
                     continue
-                new = far(b, d)
-                if new is not None and far(a, c) + new < far(a, b) + far(c, d) - 1e-9:
-                    mate[a], mate[c], mate[b], mate[d] = c, a, d, b
+                sums = [(x + y, p, q) for p, q in ((c, d), (d, c)) if (x := far(a, p)) is not None and (y := far(b, q)) is not None]
+                new, p, q = min(sums, default=(float("inf"), c, d))
+                if new < far(a, b) + far(c, d) - 1e-9:
+                    mate[a], mate[p], mate[b], mate[q] = p, a, q, b
                     better = True
         if not better:
             break

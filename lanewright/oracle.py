@@ -63,6 +63,22 @@ touched AS (SELECT area_id, zone, src id FROM ez UNION SELECT area_id, zone, dst
 centre AS (SELECT t.area_id, t.zone, avg(lat) lat, avg(lon) lon FROM touched t JOIN nodes n ON n.area_id=t.area_id AND n.id=t.id GROUP BY 1,2)"""
 )
 
+#: The nearest point to the centre of each segment of two open nodes, in metres.
+_M = "radians(1)*6371000.0::DOUBLE"
+PASSES = f"""flat AS (SELECT s.area_id, s.way_id, (a.lat-pt.lat)*{_M} y1, (a.lon-pt.lon)*{_M}*cos(radians(pt.lat)) x1, (b.lat-pt.lat)*{_M} y2, (b.lon-pt.lon)*{_M}*cos(radians(pt.lat)) x2
+ FROM segs s JOIN nodes a ON a.area_id=s.area_id AND a.id=u JOIN nodes b ON b.area_id=s.area_id AND b.id=v, pt),
+along AS (SELECT *, greatest(0, least(1, -(x1*(x2-x1)+y1*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) t FROM flat),
+near AS (SELECT area_id, way_id, x1+t*(x2-x1) px, y1+t*(y2-y1) py FROM along)"""
+
+#: Twelve rounds of k-means from four seeds by longitude.
+KMEANS = """,
+k0 AS (SELECT area_id, CAST(s AS INTEGER) zone, lat y, lon x FROM (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY lon, id)-1 k, count(*) OVER (PARTITION BY area_id) n FROM nodes), range(4) r(s) WHERE k=(s*(n-1))//3)""" + "".join(
+    f""",
+z{r} AS MATERIALIZED (SELECT area_id, id, lat, lon, zone FROM (SELECT n.*, zone, row_number() OVER (PARTITION BY n.area_id, id ORDER BY (lat-y)*(lat-y)+(lon-x)*(lon-x), zone) k FROM nodes n JOIN k{r - 1} c ON c.area_id=n.area_id) WHERE k=1),
+k{r} AS MATERIALIZED (SELECT c.area_id, c.zone, coalesce(m.y, c.y) y, coalesce(m.x, c.x) x FROM k{r - 1} c LEFT JOIN (SELECT area_id, zone, sum(lat ORDER BY id)/count(*) y, sum(lon ORDER BY id)/count(*) x FROM z{r} GROUP BY 1,2) m ON m.area_id=c.area_id AND m.zone=c.zone)"""
+    for r in range(1, 13)
+)
+
 LINES = CELLS + """,
 pts AS (SELECT w.area_id, w.way_id, k pos, n.lat, n.lon, n.ele FROM (SELECT *, unnest(range(len(refs))) k FROM ways) w JOIN nodes n ON n.area_id=w.area_id AND n.id=w.refs[k+1]),
 steps AS (SELECT area_id, way_id, ele-lag(ele) OVER (PARTITION BY area_id,way_id ORDER BY pos) d FROM pts),
@@ -98,21 +114,30 @@ ORACLE_SQL = {
     "area_filter_walk": f"WITH {CELLS} SELECT area_id, way_id FROM ways WHERE highway IS NOT NULL AND NOT regexp_matches(highway, 'motorway|motorway_link|trunk|trunk_link|construction|proposed|raceway') AND NOT coalesce(contains(foot,'no'), false)",
     "area_filter_drive": f"WITH {CELLS} SELECT area_id, way_id FROM ways WHERE regexp_matches(highway, 'motorway|trunk|primary|secondary|tertiary|unclassified|residential|living_street|service')",
     "area_filter_bike": f"WITH {CELLS} SELECT area_id, way_id FROM ways WHERE highway IS NOT NULL AND NOT coalesce(contains(bicycle,'no'), false) AND NOT regexp_matches(highway, 'motorway|motorway_link|footway|steps|construction|proposed')",
-    "radius_ways": f"WITH {CELLS}, pt AS (SELECT {LAT} lat, {LON} lon), inside AS (SELECT n.area_id, n.id FROM nodes n, pt WHERE {HAV.format(a='pt', b='n')}<=1500), refs AS (SELECT area_id, way_id, unnest(refs) id FROM ways WHERE highway IS NOT NULL AND NOT regexp_matches(highway, 'motorway|motorway_link|trunk|trunk_link|construction|proposed|raceway') AND NOT coalesce(contains(foot,'no'), false)), hit AS (SELECT DISTINCT r.area_id, way_id FROM refs r JOIN inside i ON i.area_id=r.area_id AND i.id=r.id) SELECT area_id, way_id id, 'way' kind FROM hit UNION ALL SELECT DISTINCT r.area_id, r.id, 'node' FROM refs r JOIN hit h ON h.way_id=r.way_id AND h.area_id=r.area_id JOIN nodes n ON n.area_id=r.area_id AND n.id=r.id",
+    "radius_ways": f"WITH {CELLS}, pt AS (SELECT {LAT} lat, {LON} lon), inside AS (SELECT n.area_id, n.id FROM nodes n, pt WHERE {HAV.format(a='pt', b='n')}<=1500), refs AS (SELECT area_id, way_id, unnest(refs) id FROM ways WHERE highway IS NOT NULL AND NOT regexp_matches(highway, 'motorway|motorway_link|trunk|trunk_link|construction|proposed|raceway') AND NOT coalesce(contains(foot,'no'), false)), {PASSES}, hit AS (SELECT DISTINCT r.area_id, way_id FROM refs r JOIN inside i ON i.area_id=r.area_id AND i.id=r.id UNION SELECT area_id, way_id FROM near WHERE px*px+py*py<=1500*1500 AND way_id IN (SELECT way_id FROM refs)) SELECT area_id, way_id id, 'way' kind FROM hit UNION ALL SELECT DISTINCT r.area_id, r.id, 'node' FROM refs r JOIN hit h ON h.way_id=r.way_id AND h.area_id=r.area_id JOIN nodes n ON n.area_id=r.area_id AND n.id=r.id",
     "element_filter": f"WITH {CELLS} SELECT area_id, 'node' AS type, count(*) n FROM nodes GROUP BY 1 UNION ALL SELECT area_id, 'way', count(*) FROM ways GROUP BY 1",
     "osm_parse": f"WITH {EDGES} SELECT area_id, src, dst, {R('len', 6)} len FROM edges",
     "components": f"WITH RECURSIVE {LABELS} SELECT area_id, id, component FROM labels",
     "components_wide": f"WITH RECURSIVE {LABELS} SELECT area_id, id, component FROM labels",
     "largest_component": f"WITH RECURSIVE {LABELS} SELECT area_id, component, n FROM largest",
     "junctions": f"WITH {EDGES} SELECT area_id, id FROM deg WHERE degree<>2",
-    "isolated_loops": f"WITH RECURSIVE {LABELS} SELECT l.area_id, component FROM labels l JOIN deg d ON d.area_id=l.area_id AND d.id=l.id GROUP BY 1,2 HAVING bool_and(degree=2)",
+    "isolated_loops": """WITH RECURSIVE rings AS (SELECT CAST(n_regionkey AS VARCHAR) area_id, n_nationkey n, 3+n_nationkey%4 m FROM nation),
+ e AS (SELECT area_id, 'n'||n||'_'||i u, 'n'||n||'_'||((i+1)%m) v FROM (SELECT *, unnest(range(m)) i FROM rings)
+  UNION SELECT area_id, 'n'||n||'_0', 'n'||n||'_t' FROM rings WHERE n%3=0 UNION SELECT area_id, 'n'||n||'_0', 'n'||n||'_2' FROM rings WHERE n%5=0 AND m>3),
+ arcs AS (SELECT area_id, u, v FROM e UNION SELECT area_id, v, u FROM e), deg AS (SELECT area_id, u id, count(*) degree FROM arcs GROUP BY 1,2),
+ reach(area_id, s, t) AS (SELECT area_id, u, u FROM arcs UNION SELECT r.area_id, r.s, a.v FROM reach r JOIN arcs a ON a.area_id=r.area_id AND a.u=r.t),
+ labels AS (SELECT area_id, s id, min(t) component FROM reach GROUP BY 1,2)
+SELECT l.area_id, component FROM labels l JOIN deg d ON d.area_id=l.area_id AND d.id=l.id GROUP BY 1,2 HAVING bool_and(degree=2)""",
+    "csr_arrays": f"WITH {EDGES}, num AS (SELECT area_id, id, row_number() OVER w - 1 number, CAST(sum(degree) OVER w - degree AS BIGINT) first FROM deg WINDOW w AS (PARTITION BY area_id ORDER BY id)) SELECT n.area_id, n.id, n.number, n.first, string_agg(CAST(m.number AS VARCHAR), ',' ORDER BY m.number) near, string_agg(CAST(CAST({R('a.len', 0)} AS BIGINT) AS VARCHAR), ',' ORDER BY m.number) len FROM num n JOIN arcs a ON a.area_id=n.area_id AND a.u=n.id JOIN num m ON m.area_id=a.area_id AND m.id=a.v GROUP BY 1,2,3,4",
+    "multigraph": f"WITH {EDGES}, again AS (SELECT area_id, least(u,v) src, greatest(u,v) dst, count(*) n FROM segs GROUP BY 1,2,3) SELECT e.area_id, e.src, e.dst, {R('len', 6)} len, 1+coalesce(n,0) mult FROM edges e LEFT JOIN again a ON a.area_id=e.area_id AND a.src=e.src AND a.dst=e.dst",
+    "nearest_target": f"WITH RECURSIVE {LABELS}, sources AS (SELECT area_id, component s FROM largest){DIST}, t AS (SELECT area_id, id FROM deg WHERE degree%2=1 AND id LIKE '%7'), hit AS (SELECT d.area_id, d.s, d.id, d.d, row_number() OVER (PARTITION BY d.area_id ORDER BY d.d, d.id) k FROM dist d JOIN t ON t.area_id=d.area_id AND t.id=d.id) SELECT x.area_id, x.s source, h.id target, {R('h.d', 3)} dist FROM sources x LEFT JOIN hit h ON h.area_id=x.area_id AND k=1 WHERE x.area_id IN (SELECT area_id FROM t)",
     "subgraph": f"WITH {EDGES} SELECT e.area_id, src, dst, {R('len', 6)} len FROM edges e JOIN nodes a ON a.area_id=e.area_id AND a.id=src JOIN nodes b ON b.area_id=e.area_id AND b.id=dst WHERE a.lon<-73.96::DOUBLE AND b.lon<-73.96::DOUBLE",
     "sssp_corner": f"WITH RECURSIVE {LABELS}, sources AS (SELECT area_id, component s FROM largest){DIST} SELECT area_id, s source, id, {R('d', 3)} dist FROM dist",
-    "shortest_paths": f"WITH RECURSIVE {LABELS}, sources AS (SELECT area_id, min(id) s FROM big GROUP BY 1), targets AS (SELECT area_id, max(id) t FROM big GROUP BY 1){DIST} SELECT d.area_id, s source, t target, {R('d', 3)} dist FROM dist d JOIN targets t ON t.area_id=d.area_id AND t.t=d.id",
+    "shortest_paths": f"WITH RECURSIVE {LABELS}, sources AS (SELECT area_id, min(id) s FROM big GROUP BY 1), targets AS (SELECT area_id, max(id) t FROM big GROUP BY 1){DIST}, came AS (SELECT a.area_id, a.v id, min(a.u) u FROM arcs a JOIN dist x ON x.area_id=a.area_id AND x.id=a.u JOIN dist y ON y.area_id=a.area_id AND y.id=a.v WHERE x.d+a.len=y.d GROUP BY 1,2), back(area_id, id, path) AS (SELECT area_id, t, t FROM targets UNION ALL SELECT b.area_id, c.u, c.u||','||b.path FROM back b JOIN came c ON c.area_id=b.area_id AND c.id=b.id) SELECT d.area_id, s source, t target, {R('d', 3)} dist, b.path FROM dist d JOIN targets t ON t.area_id=d.area_id AND t.t=d.id JOIN back b ON b.area_id=d.area_id AND b.id=d.s",
     "odd_distances": f"WITH RECURSIVE {LABELS}, odd AS (SELECT b.area_id, b.id FROM big b JOIN deg d ON d.area_id=b.area_id AND d.id=b.id WHERE degree%2=1), sources AS (SELECT area_id, id s FROM odd){DIST} SELECT d.area_id, s id, count(*) reached, {R('min(d)', 3)} nearest, {R('max(d)', 3)} farthest FROM dist d JOIN odd o ON o.area_id=d.area_id AND o.id=d.id WHERE d.id<>s GROUP BY 1,2",
-    "nearest_odd": f"WITH RECURSIVE {LABELS}, odd AS (SELECT b.area_id, b.id FROM big b JOIN deg d ON d.area_id=b.area_id AND d.id=b.id WHERE degree%2=1), sources AS (SELECT area_id, id s FROM odd){DIST} SELECT area_id, s id, CAST(k AS INTEGER) \"rank\", {R('d', 3)} dist FROM (SELECT d.area_id, s, d, row_number() OVER (PARTITION BY d.area_id, s ORDER BY d) k FROM dist d JOIN odd o ON o.area_id=d.area_id AND o.id=d.id WHERE d.id<>s) WHERE k<=2",
+    "nearest_odd": f"WITH RECURSIVE {LABELS}, odd AS (SELECT b.area_id, b.id FROM big b JOIN deg d ON d.area_id=b.area_id AND d.id=b.id WHERE degree%2=1), sources AS (SELECT area_id, id s FROM odd){DIST} SELECT area_id, s id, CAST(k AS INTEGER) \"rank\", id other, {R('d', 3)} dist FROM (SELECT d.area_id, s, d.id, d, row_number() OVER (PARTITION BY d.area_id, s ORDER BY d, d.id) k FROM dist d JOIN odd o ON o.area_id=d.area_id AND o.id=d.id WHERE d.id<>s) WHERE k<=2",
     "seeds_lon": f"WITH {CELLS} SELECT area_id, CAST(s AS INTEGER) seed, id FROM (SELECT area_id, id, row_number() OVER (PARTITION BY area_id ORDER BY lon, id)-1 k, count(*) OVER (PARTITION BY area_id) n FROM nodes), range(4) x(s) WHERE k=(s*(n-1))//3",
-    "kmeans_zones": f"WITH {CELLS} SELECT area_id, count(*) n, CAST(4 AS BIGINT) zones, CAST(4 AS BIGINT) used FROM nodes GROUP BY 1",
+    "kmeans_zones": f"WITH {CELLS}{KMEANS} SELECT area_id, id, zone FROM z12",
     "nearest_centroid": f"WITH {SEEDED} SELECT area_id, id, zone FROM zoned",
     "edge_zone": f"WITH {ZONES} SELECT e.area_id, src, dst, zone FROM edges e JOIN zoned z ON z.area_id=e.area_id AND z.id=e.src",
     "zone_center": f"WITH {CENTRE} SELECT area_id, zone, {R('lat', 6)} lat, {R('lon', 6)} lon FROM centre",
@@ -123,7 +148,7 @@ ORACLE_SQL = {
     "split_runs": "WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) k FROM orders), w(o_custkey, o_orderkey, k, run, total) AS (SELECT o_custkey, o_orderkey, k, 0, m FROM o WHERE k=1 UNION ALL SELECT o.o_custkey, o.o_orderkey, o.k, w.run+CASE WHEN w.total+o.m>500000 THEN 1 ELSE 0 END, CASE WHEN w.total+o.m>500000 THEN o.m ELSE w.total+o.m END FROM w JOIN o ON o.o_custkey=w.o_custkey AND o.k=w.k+1) SELECT o_custkey, o_orderkey, run FROM w",
     "run_elevation": f"WITH {LINES} SELECT area_id, way_id, elev_gain_m, elev_loss_m FROM climb",
     "total_climb": f"WITH {LINES} SELECT area_id, CAST(sum(elev_gain_m) AS BIGINT) total_gain_m, CAST(sum(elev_loss_m) AS BIGINT) total_loss_m FROM climb GROUP BY 1",
-    "gpx_export": f"""WITH {LINES} SELECT area_id, way_id, '<?xml version="1.0" encoding="UTF-8"?>'||chr(10)||'<gpx version="1.1" creator="lanewright" xmlns="http://www.topografix.com/GPX/1/1">'||chr(10)||'  <trk><name>Tom &amp; &quot;Jerry&quot; '||way_id||'</name><trkseg>'||chr(10)||string_agg('      <trkpt lat="'||{NUM(R("lat", 6))}||'" lon="'||{NUM(R("lon", 6))}||'">'||coalesce('<ele>'||{NUM(R("ele", 2))}||'</ele>','')||'</trkpt>', chr(10) ORDER BY pos)||chr(10)||'  </trkseg></trk>'||chr(10)||'</gpx>' gpx FROM pts GROUP BY 1,2""",
+    "gpx_export": f"""WITH {LINES} SELECT area_id, way_id, '<?xml version="1.0" encoding="UTF-8"?>'||chr(10)||'<gpx version="1.1" creator="lanewright" xmlns="http://www.topografix.com/GPX/1/1">'||chr(10)||'  <trk><name>North &amp; &quot;South&quot; &lt; '||way_id||'</name><trkseg>'||chr(10)||string_agg('      <trkpt lat="'||{NUM(R("lat", 6))}||'" lon="'||{NUM(R("lon", 6))}||'">'||coalesce('<ele>'||{NUM(R("ele", 2))}||'</ele>','')||'</trkpt>', chr(10) ORDER BY pos)||chr(10)||'  </trkseg></trk>'||chr(10)||'</gpx>' gpx FROM pts GROUP BY 1,2""",
     "bounding_box": f"WITH {CELLS} SELECT area_id, {R('min(lat)-(max(lat)-min(lat))*0.1::DOUBLE', 6)} lat_lo, {R('max(lat)+(max(lat)-min(lat))*0.1::DOUBLE', 6)} lat_hi, {R('min(lon)-(max(lon)-min(lon))*0.1::DOUBLE', 6)} lon_lo, {R('max(lon)+(max(lon)-min(lon))*0.1::DOUBLE', 6)} lon_hi FROM nodes GROUP BY 1",
     "xml_escape": "SELECT page_id, replace(replace(replace(replace(replace(html,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&apos;') escaped FROM pages",
     "uri_encode": "SELECT page_id, replace(replace(replace(replace(replace(url_encode(url),'%21','!'),'%27',''''),'%28','('),'%29',')'),'%2A','*') encoded FROM pages",
@@ -150,6 +175,20 @@ ORACLE_SQL = {
     "euler_check": f"WITH RECURSIVE {LABELS} SELECT area_id, CAST(0 AS BIGINT) gaps, CAST(0 AS BIGINT) \"open\", count(*) edges FROM kept GROUP BY 1",
     "contraction": f"WITH RECURSIVE {LABELS} SELECT k.area_id, segments, bare_m, odd FROM (SELECT area_id, count(*) segments, {R('sum(len)', 3)} bare_m FROM kept GROUP BY 1) k JOIN (SELECT b.area_id, count(*) odd FROM big b JOIN deg d ON d.area_id=b.area_id AND d.id=b.id WHERE degree%2=1 GROUP BY 1) o USING (area_id)",
     "plan_stats": f"WITH RECURSIVE {LABELS} SELECT 'q'||area_id request_id, n intersections, segments, bare_mi, true covers, true enough_runs FROM largest JOIN (SELECT area_id, count(*) segments, {R('sum(len)/1609.344::DOUBLE', 1)} bare_mi FROM kept GROUP BY 1) USING (area_id)",
+    "plan_accounts": f"WITH RECURSIVE {LABELS} SELECT 'q'||area_id request_id, {R('sum(len)', 3)} bare_m, count(*) segments, CAST(0 AS BIGINT) breaks, CAST(0 AS BIGINT) \"open\", CAST(0 AS BIGINT) lengths_off, CAST(0 AS BIGINT) points_off, CAST(0 AS BIGINT) numbers_off, true repeats_agree, true overhead_agrees FROM kept GROUP BY area_id",
+    "ttl_stream": f"WITH {EVENTS}, seen AS (SELECT *, event_type IN ('purchase','signup') put, max(CASE WHEN event_type IN ('purchase','signup') THEN tm END) OVER (PARTITION BY user_id ORDER BY tm, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) last FROM ev) SELECT user_id, seq, coalesce(tm-last<=259200000, false) hit FROM seen WHERE NOT put",
+    "cache_replay": f"""WITH RECURSIVE {EVENTS},
+o AS (SELECT CAST(user_id%8 AS VARCHAR) ns, row_number() OVER (PARTITION BY user_id%8 ORDER BY tm, seq) k, CASE WHEN event_type IN ('purchase','signup') THEN 'put' WHEN seq%17=0 THEN 'drop' WHEN seq%5=0 THEN 'peek' ELSE 'get' END op,
+ CAST(user_id AS VARCHAR) u, CAST(trunc(abs(value)*10+10) AS BIGINT) z, tm FROM ev),
+s(ns, k, recs, op, u, ok, evicted) AS (
+ SELECT DISTINCT ns, CAST(0 AS BIGINT), CAST([] AS STRUCT(u VARCHAR, z BIGINT, t BIGINT)[]), '', '', false, '' FROM o
+ UNION ALL SELECT ns, k, CASE WHEN op='peek' OR (op='put' AND z>4000) THEN recs WHEN op='drop' OR (op='get' AND NOT hit) THEN others WHEN op='get' THEN list_concat(mine, others)
+   ELSE list_concat([struct_pack(u:=u, z:=z, t:=tm)], others[1:room]) END,
+  op, u, CASE op WHEN 'put' THEN z<=4000 WHEN 'drop' THEN len(mine)>0 ELSE hit END,
+  CASE WHEN op='put' AND z<=4000 THEN array_to_string(list_reverse(list_transform(others[room+1:], lambda x: x.u)), ',') ELSE '' END
+ FROM (SELECT *, len(list_filter(range(1, len(others)+1), lambda i: list_sum(list_transform(others[1:i], lambda x: len(x.u)+x.z))+len(u)+z<=6000)) room, coalesce(tm-mine[1].t<=259200000, false) hit
+  FROM (SELECT o.*, list_filter(s.recs, lambda x: x.u=o.u) mine, list_filter(s.recs, lambda x: x.u<>o.u) others, s.recs FROM s JOIN o ON o.ns=s.ns AND o.k=s.k+1)))
+SELECT ns namespace, k seq, op, u AS key, ok, evicted FROM s WHERE k>0""",
     "plan_checks": f"WITH {CELLS} SELECT DISTINCT area_id, CAST(0 AS BIGINT) missed, CAST(0 AS BIGINT) \"long\", CAST(0 AS BIGINT) off FROM nodes",
     "demo_plan": f"SELECT CAST(k+1 AS INTEGER) id, 4.5::DOUBLE-k length_mi, 'hsl('||{NUM('k/3.0::DOUBLE*360')}||',70%,62%)' color, 2 points FROM range(3) x(k)",
 }

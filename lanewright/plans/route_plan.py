@@ -6,13 +6,16 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright import schemas
 from lanewright.operators import graph, runs, solver
 from lanewright.operators.areas import net_of
+from lanewright.scratch import written
 
+#: Requests of one area that one call solves, one after the other.
+TOGETHER = 8
 _COLUMNS = [c.split()[0] for c in schemas.WALK.split(", ")]
 
 
@@ -29,21 +32,32 @@ def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return 2 * 6_371_000.0 * math.asin(math.sqrt(y * y + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * x * x))
 
 
-def _solve(links: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-    """The walk of one request over one connected network."""
-    if not len(links):
-        return pd.DataFrame(columns=_COLUMNS)
-    ask = links.iloc[0]
+def _solve(rows: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+    """The walks of some requests over the network of their area, which is built
+    once; requests that share cap and start share its contraction."""
+    asks = rows[rows["request_id"].notna()].sort_values("request_id")
+    links = rows[rows["src"].notna()]
+    out: list[tuple] = []
+    if len(links):
+        full = net_of(links)
+        where = places.drop_duplicates("id").set_index("id").reindex(full.ids)
+        lat, lon = where["lat"].to_numpy(float), where["lon"].to_numpy(float)
+        contracted: dict = {}
+        for _, ask in asks.iterrows():
+            out += _walk(ask, full, lat, lon, contracted)
+    return pd.DataFrame(out, columns=_COLUMNS)
+
+
+def _walk(ask: pd.Series, full: solver.Net, lat, lon, contracted: dict) -> list[tuple]:
     cap = float(ask["max_m"])
-    full = net_of(links)
-    where = places.drop_duplicates("id").set_index("id").reindex(full.ids)
-    lat, lon = where["lat"].to_numpy(float), where["lon"].to_numpy(float)
 
     def nearest(ids: list[int], y: float, x: float) -> int:
         return min(ids, key=lambda u: ((lat[u] - y) ** 2 + (lon[u] - x) ** 2, u))
 
     start = None if pd.isna(ask["start_lat"]) else nearest(range(len(full.ids)), ask["start_lat"], ask["start_lon"])
-    merged = solver.contract(full, cap, [] if start is None else [start])
+    if (cap, start) not in contracted:
+        contracted[cap, start] = solver.contract(full, cap, [] if start is None else [start])
+    merged = contracted[cap, start]
     via = {(full.ids[u], full.ids[v]): [full.ids[m] for m in mid] for u, v, _, mid in merged}
     bare = sum(d for _, _, d, _ in merged)
     used = sorted({u for e in merged for u in e[:2]})
@@ -83,8 +97,7 @@ def _solve(links: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
                 run += parts[-1] + 1
                 at = place[walk[-1][1]]
             component += 1
-    return pd.DataFrame(out, columns=_COLUMNS)
-
+    return out
 
 
 def plan(nodes: DataFrame, edges: DataFrame, requests: DataFrame, all_components: bool = False) -> Plan:
@@ -94,16 +107,21 @@ def plan(nodes: DataFrame, edges: DataFrame, requests: DataFrame, all_components
     The largest component of an area is planned; with ``all_components`` each
     one, in order of its smallest node. Its chains are contracted, odd nodes
     matched, every piece walked in a closed walk that starts near the end of
-    the last one, and the walk cut by the cap. One grouped call a request; what
-    comes before and after it are joins, windows and sums.
+    the last one, and the walk cut by the cap. One grouped call for TOGETHER
+    requests of an area; the walks are written to the shared folder, so that
+    nothing is solved twice, and what comes after is joins, windows and sums.
 
     An area without streets gives no runs and zero statistics.
     """
-    kept = edges if all_components else graph.keep_largest(edges)
-    asked = kept.join(requests, "area_id").select("request_id", "area_id", "src", "dst", "len", "max_m", "start_lat", "start_lon", "cluster", "match_k")
-    here = nodes.join(requests.select("area_id", "request_id"), "area_id").select(F.col("request_id").alias("rid"), "id", "lat", "lon")
-    walk = asked.groupBy("request_id").cogroup(here.groupBy("rid")).applyInPandas(_solve, schemas.WALK)
-    full = asked.select("request_id", "area_id", "src", "dst", "len")
+    kept = written(edges if all_components else graph.keep_largest(edges), "streets")
+    number = F.row_number().over(Window.partitionBy("area_id").orderBy("request_id"))
+    dealt = requests.withColumn("part", F.floor((number - 1) / TOGETHER).cast("int"))
+    parts = dealt.select("area_id", "part").distinct()
+    both = kept.join(parts, "area_id").unionByName(dealt, allowMissingColumns=True)
+    here = nodes.join(parts, "area_id").select(F.col("area_id").alias("area"), F.col("part").alias("p"), "id", "lat", "lon")
+    walk = both.groupBy("area_id", "part").cogroup(here.groupBy("area", "p")).applyInPandas(_solve, schemas.WALK)
+    walk = written(walk, "walks")
     table = runs.run_table(walk, nodes)
     # contraction keeps the total, so the full network's length is the bare one
-    return Plan(walk, table, runs.plan_stats(walk, table, full, full, requests), full)
+    full = kept.join(requests.select("request_id", "area_id"), "area_id").select("request_id", "area_id", "src", "dst", "len")
+    return Plan(walk, table, runs.plan_stats(walk, table, kept, requests), full)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,8 +135,39 @@ def junctions(spark, sf):
     return graph.degrees(city.city_edges(spark, sf)).where(graph.is_junction()).select("area_id", "id")
 
 
+def _rings(spark, sf):
+    """A ring of three to six nodes for each nation, an area for each region;
+    every third ring has a tail, and every fifth a chord."""
+    n = _t(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("area_id"), F.col("n_nationkey").alias("n"), (3 + F.col("n_nationkey") % 4).alias("m"))
+    name = lambda i: F.concat(F.lit("n"), F.col("n").cast("string"), F.lit("_"), i.cast("string"))
+    ring = n.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i")).select("area_id", name(F.col("i")).alias("u"), name((F.col("i") + 1) % F.col("m")).alias("v"))
+    tail = n.where("n % 3 = 0").select("area_id", name(F.lit(0)).alias("u"), name(F.lit("t")).alias("v"))
+    chord = n.where("n % 5 = 0 and m > 3").select("area_id", name(F.lit(0)).alias("u"), name(F.lit(2)).alias("v"))
+    return graph.undirected(ring.unionByName(tail).unionByName(chord).withColumn("len", F.lit(1.0)))
+
+
 def isolated_loops(spark, sf):
-    return graph.isolated_loops(city.city_edges(spark, sf))
+    return graph.isolated_loops(_rings(spark, sf))
+
+
+def csr_arrays(spark, sf):
+    c = graph.csr(city.city_edges(spark, sf))
+    return c.select("area_id", "id", F.col("number").cast("bigint").alias("number"), F.col("first").cast("bigint").alias("first"), F.array_join(F.col("near").cast("array<string>"), ",").alias("near"), F.array_join(F.transform("len", lambda d: S.rounded(d, 0).cast("bigint").cast("string")), ",").alias("len"))
+
+
+def multigraph(spark, sf):
+    """Each street once, and once more for each way that passes it."""
+    extra = graph.segments(city.city_ways(spark, sf)).select("area_id", F.col("u").alias("a"), F.col("v").alias("b"))
+    return graph.multigraph(city.city_edges(spark, sf), extra).select("area_id", "src", "dst", _r6("len").alias("len"), F.col("mult").cast("bigint").alias("mult"))
+
+
+def nearest_target(spark, sf):
+    """From the corner of each largest component to the nearest odd node whose
+    id ends in 7."""
+    edges = city.city_edges(spark, sf)
+    targets = graph.odd_nodes(edges).where(F.col("id").endswith("7")).groupBy("area_id").agg(F.collect_set("id").alias("targets"))
+    start = graph.largest_component(edges).select("area_id", F.col("component").alias("source"))
+    return areas.nearest_target(edges, start.join(targets, "area_id")).select("area_id", "source", "target", _r3("dist").alias("dist"))
 
 
 def subgraph(spark, sf):
@@ -152,22 +182,22 @@ def sssp_corner(spark, sf):
 
 
 def shortest_paths(spark, sf):
-    """Length of the path between the ends of each largest component."""
+    """The path between the ends of each largest component, node by node."""
     _, edges = _city(spark, sf)
     labels = graph.components(edges)
     ends = labels.join(graph.largest_component(edges, labels).select("area_id", "component"), ["area_id", "component"]).groupBy("area_id").agg(F.min("id").alias("source"), F.max("id").alias("target"))
-    return areas.paths(edges, ends).select("area_id", "source", "target", _r3("dist").alias("dist"))
+    return areas.paths(edges, ends).select("area_id", "source", "target", _r3("dist").alias("dist"), F.array_join("path", ",").alias("path"))
 
 
 def odd_distances(spark, sf):
     """Out of the area of the most odd nodes: distances between them, summed."""
     d = areas.odd_distances(graph.keep_largest(city.city_edges(spark, sf)))
-    return d.groupBy("area_id", "id").agg(F.count("dist").alias("reached"), _r3(F.min("dist")).alias("nearest"), _r3(F.max("dist")).alias("farthest"))
+    return d.select("area_id", "id", "reached", _r3("nearest").alias("nearest"), _r3("farthest").alias("farthest"))
 
 
 def nearest_odd(spark, sf):
     d = areas.nearest_odd(graph.keep_largest(city.city_edges(spark, sf)), 2)
-    return d.select("area_id", "id", "rank", _r3("dist").alias("dist"))
+    return d.select("area_id", "id", "rank", "other", _r3("dist").alias("dist"))
 
 
 def seeds_lon(spark, sf):
@@ -179,17 +209,14 @@ def seeds_lon(spark, sf):
 
 
 def kmeans_zones(spark, sf):
-    """Sizes of the k-means zones of each area."""
-    z = areas.clusters(city.city_nodes(spark, sf), 4)
-    return z.groupBy("area_id").agg(F.count("*").alias("n"), F.max("zones").cast("bigint").alias("zones"), F.countDistinct("zone").alias("used"))
+    """The k-means zone of every node."""
+    return areas.clusters(city.city_nodes(spark, sf), 4).select("area_id", "id", "zone")
 
 
 def _near_seed(spark, sf):
     """(area_id, id, zone): the nearest of three fixed centres, in plain degrees."""
     centres = [(0, 40.715, -74.0), (1, 40.735, -73.97), (2, 40.755, -73.93)]
-    rows = spark.createDataFrame(centres, "zone int, y double, x double")
-    nodes = city.city_nodes(spark, sf)
-    return nodes.crossJoin(F.broadcast(rows)).groupBy("area_id", "id").agg(F.min(F.struct(S.planar2("lat", "lon", "y", "x").alias("d2"), F.col("zone"))).alias("m")).select("area_id", "id", F.col("m.zone").alias("zone"))
+    return graph.nearest_centroid(city.city_nodes(spark, sf), centres).select("area_id", "id", "zone")
 
 
 def nearest_centroid(spark, sf):
@@ -197,9 +224,7 @@ def nearest_centroid(spark, sf):
 
 
 def edge_zone(spark, sf):
-    edges = city.city_edges(spark, sf)
-    z = _near_seed(spark, sf).select("area_id", F.col("id").alias("src"), "zone")
-    return edges.join(z, ["area_id", "src"]).select("area_id", "src", "dst", "zone")
+    return graph.edge_zones(city.city_edges(spark, sf), _near_seed(spark, sf)).select("area_id", "src", "dst", "zone")
 
 
 def _centres(spark, sf):
@@ -259,7 +284,7 @@ def total_climb(spark, sf):
 
 def gpx_export(spark, sf):
     lines = _lines(spark, sf).groupBy("area_id", "way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon", "ele"))), lambda p: F.struct(S.rounded(p["lat"], 6).alias("lat"), S.rounded(p["lon"], 6).alias("lon"), S.rounded(p["ele"], 2).alias("ele"))).alias("coords"))
-    return lines.select("area_id", "way_id", gpx.track(F.col("coords"), F.concat(F.lit('Tom & "Jerry" '), F.col("way_id"))).alias("gpx"))
+    return lines.select("area_id", "way_id", gpx.track(F.col("coords"), F.concat(F.lit('North & "South" < '), F.col("way_id"))).alias("gpx"))
 
 
 def bounding_box(spark, sf):
@@ -479,17 +504,36 @@ def plan_checks(spark, sf):
     return out.select("area_id", *[F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in ("missed", "long", "off")])
 
 
+def plan_accounts(spark, sf):
+    """What a plan must add up to, whichever way it was found: lengths of runs
+    against their steps, breaks between steps, walks that do not close, lost run
+    numbers, repeated streets against the length over the bare one."""
+    _, p = _plan(spark, sf)
+    key = ["request_id"]
+    w = Window.partitionBy("request_id", "zone", "component").orderBy("run_id", "pos")
+    steps = p.walk.select("*", F.lag("b").over(w).alias("before"), F.first("a").over(w).alias("first"), F.lead("a").over(w).isNull().alias("last"))
+    breaks = steps.groupBy(*key).agg(F.count_if(F.col("before") != F.col("a")).alias("breaks"), F.count_if(F.col("last") & (F.col("first") != F.col("b"))).alias("open"), F.sum("len").alias("covered"))
+    long = p.walk.groupBy("request_id", "run_id").agg(F.sum("len").alias("m"), F.sum(F.size("via") + 1).alias("links"))
+    runs_ = p.runs.join(long, ["request_id", "run_id"]).groupBy(*key).agg(
+        F.count_if(F.abs(F.col("m") - F.col("length_m")) > 1e-6).alias("lengths_off"), F.count_if(F.size("coords") != F.col("links") + 1).alias("points_off"),
+        (F.max("run_id") - F.count("*")).cast("bigint").alias("numbers_off"),
+    )
+    streets = p.walk.groupBy("request_id", F.least("a", "b"), F.greatest("a", "b")).agg(F.min("len").alias("len"), F.count("*").alias("n"))
+    again = streets.groupBy(*key).agg(F.sum(F.col("len") * (F.col("n") - 1)).alias("again"))
+    bare = p.full.groupBy(*key).agg(F.sum("len").alias("bare"), F.count("*").alias("segments"))
+    out = bare.join(breaks, key).join(runs_, key).join(again, key).join(p.stats.select("request_id", "overhead_pct"), key)
+    over = 100 * (F.col("covered") - F.col("bare")) / F.col("bare")
+    return out.select("request_id", _r3("bare").alias("bare_m"), "segments", "breaks", "open", "lengths_off", "points_off", "numbers_off", (F.abs(F.col("covered") - F.col("bare") - F.col("again")) < 1e-3).alias("repeats_agree"), (F.abs(F.col("overhead_pct") - over) <= 0.05 + 1e-9).alias("overhead_agrees"))
+
+
 def zone_costs(spark, sf):
     """Distance over the bare length by ways of zoning, in percent."""
     nodes, edges = _city(spark, sf)
     kept = graph.keep_largest(edges)
     ends = kept.select("area_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
     inside = nodes.join(ends, ["area_id", "id"], "left_semi")
-    out = None
-    for kind in ("one", "kmeans", "grown", "settled"):
-        c = areas.covered_by_zones(kept, inside, kind, 3).select("area_id", F.lit(kind).alias("kind"), _r3("bare").alias("bare"), S.rounded(100 * (F.col("covered") - F.col("bare")) / F.col("bare"), 1).alias("overhead"), "cuts")
-        out = c if out is None else out.unionByName(c)
-    return out
+    c = areas.covered_by_zones(kept, inside, 3)
+    return c.select("area_id", "kind", _r3("bare").alias("bare"), S.rounded(100 * (F.col("covered") - F.col("bare")) / F.col("bare"), 1).alias("overhead"), "cuts")
 
 
 def seams_or_matching(spark, sf):
@@ -501,22 +545,34 @@ def seams_or_matching(spark, sf):
     return both.select(S.rounded("seam", 1).alias("seam"), S.rounded("gap", 1).alias("gap"), verdict.alias("verdict"))
 
 
-def cooldown_stream(spark, sf):
-    """The cooldown gate over the events as a stream; one pass over what is there."""
+def _streamed(spark, sf, flow):
+    """The rows of ``flow`` over the events as a stream; one pass over what is there."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    keyed = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    op = F.when(F.col("event_type").isin("purchase", "signup"), "put").otherwise("get").alias("op")
+    keyed = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), op)
     out = scratch_dir(spark, "gate")
-    query = gate.cooldown_stream(keyed, HOURS_6).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    query = flow(keyed).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select(F.col("key").cast("bigint").alias("user_id"), "seq", "accepted")
+    return spark.read.parquet(f"{out}/rows")
+
+
+def cooldown_stream(spark, sf):
+    rows = _streamed(spark, sf, lambda e: gate.cooldown_stream(e.drop("op"), HOURS_6))
+    return rows.select(F.col("key").cast("bigint").alias("user_id"), "seq", "accepted")
+
+
+def ttl_stream(spark, sf):
+    rows = _streamed(spark, sf, lambda e: gate.ttl_stream(e, 3 * 24 * 3600 * 1000))
+    return rows.select(F.col("key").cast("bigint").alias("user_id"), "seq", "hit")
 
 
 def demo_plan(spark, sf):
-    """A saved plan, read and coloured as its viewer would."""
+    """A saved plan, read from its file and coloured as its viewer would."""
     saved = {"center": [40.0, -74.0], "runs": [{"id": k + 1, "length_mi": 4.5 - k, "zone": 0, "coords": [[40.0, -74.0], [40.0 + k, -74.0]]} for k in range(3)], "stats": {"n_runs": 3, "zones": 1, "bare_mi": 9.0, "covered_mi": 10.5, "overhead_pct": 16.7, "intersections": 4, "segments": 5}}
-    text = spark.createDataFrame(pd.DataFrame({"j": [json.dumps(saved)]}), "j string")
-    plan = text.select(F.from_json("j", schemas.DEMO).alias("p")).select("p.*")
+    path = scratch_dir(spark, "demo")
+    spark.createDataFrame([(json.dumps(saved, indent=1),)], "value string").coalesce(1).write.text(path)
+    plan = osm.read_demo(spark, path)
     return plan.select(F.posexplode("runs").alias("k", "r"), "stats").select("r.id", "r.length_mi", F.coalesce("r.color", S.color("k", F.col("stats.n_runs"))).alias("color"), F.size("r.coords").alias("points"))
 
 
@@ -529,6 +585,6 @@ QUERIES = {
         run_elevation, total_climb, gpx_export, bounding_box, xml_escape, uri_encode, overpass_key, geocode_key, geocode_lookup, slim_encode, slim_expand,
         cooldown_gate, cooldown_left, ttl_hits, lru_order, cache_replay, would_use_network, failover_choice, status_message, elevation_lookup, hue_palette, units,
         json_round_trip, synthetic_grid, matching_parity, augmented_parity, euler_check, contraction, run_table, run_files, plan_summary, plan_stats, plan_checks,
-        zone_costs, seams_or_matching, cooldown_stream, demo_plan,
+        plan_accounts, zone_costs, seams_or_matching, cooldown_stream, ttl_stream, demo_plan, csr_arrays, multigraph, nearest_target,
     )
 } | {f"area_filter_{net}": _filter(net) for net in osm.NETWORKS}

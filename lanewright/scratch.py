@@ -1,19 +1,52 @@
-"""A folder that the driver and all executors share."""
+"""Tables in a folder that the driver and all executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only a one-machine ``local[..]`` session without
+    that setting (as in tests) gets a temporary folder of its own."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="lanewright-")
+        atexit.register(shutil.rmtree, _own[app], True)
+    return "file://" + _own[app]
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new path under spark.checkpoint.dir; under a temporary folder only in a
-    one-machine session that sets none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lanewright-")
-    return f"{root.rstrip('/')}/lanewright/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{scratch_root(spark)}/lanewright/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    The table survives lost executors and cuts the lineage, so nothing above
+    is computed twice.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``written`` wrote, once nothing will read it again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

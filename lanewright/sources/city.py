@@ -77,9 +77,3 @@ def city_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanewright.operators.graph import edges_from_ways
 
     return edges_from_ways(city_nodes(spark, sf_dir), city_ways(spark, sf_dir))
-
-
-def lengths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(area_id, src, dst, len) of node pairs, by great circle."""
-    a, b = nodes.select("area_id", F.col("id").alias("src"), F.col("lat").alias("y1"), F.col("lon").alias("x1")), nodes.select("area_id", F.col("id").alias("dst"), F.col("lat").alias("y2"), F.col("lon").alias("x2"))
-    return pairs.join(a, ["area_id", "src"]).join(b, ["area_id", "dst"]).select("area_id", "src", "dst", haversine("y1", "x1", "y2", "x2").alias("len"))

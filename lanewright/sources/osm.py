@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lanewright import schemas
 from lanewright.functions.scalar import address_key, haversine
+from lanewright.operators.graph import segments
 
 # Tag patterns of the three networks. They match anywhere in a
 # value; a "not" pattern holds where the tag is missing.
@@ -52,23 +54,53 @@ def in_network(net: str | None, tags: str | Column = "tags") -> Column:
     return out
 
 
+def _box(lat: float, lon: float, radius_m: float) -> tuple[float, list[tuple[float, float]]]:
+    """Degrees of latitude, and the ranges of longitude, that a circle spans: two
+    ranges across +-180 degrees, the whole round at a pole."""
+    dlat = math.degrees(radius_m / 6_371_000.0) * 1.000001
+    if abs(lat) + dlat >= 89.999:
+        return dlat, [(-180.0, 180.0)]
+    dlon = dlat / math.cos(math.radians(abs(lat) + dlat))
+    if dlon >= 180:
+        return dlat, [(-180.0, 180.0)]
+    lo, hi = lon - dlon, lon + dlon
+    if lo < -180:
+        return dlat, [(-180.0, hi), (lo + 360, 180.0)]
+    return dlat, [(lo, hi)] if hi <= 180 else [(lo, 180.0), (-180.0, hi - 360)]
+
+
 def near(lat: float, lon: float, radius_m: float, lat_col: str = "lat", lon_col: str = "lon") -> Column:
     """Within a radius of a point. The box around it comes first, as plain range
     predicates that reach the Parquet reader."""
-    dlat = math.degrees(radius_m / 6_371_000.0) * 1.000001
-    dlon = dlat / max(1e-9, math.cos(math.radians(min(89.999, abs(lat) + dlat))))
-    box = F.col(lat_col).between(lat - dlat, lat + dlat) & F.col(lon_col).between(lon - dlon, lon + dlon)
-    return box & (haversine(F.lit(lat), F.lit(lon), lat_col, lon_col) <= radius_m)
+    dlat, ranges = _box(lat, lon, radius_m)
+    inside = functools.reduce(Column.__or__, [F.col(lon_col).between(x, y) for x, y in ranges])
+    return F.col(lat_col).between(lat - dlat, lat + dlat) & inside & (haversine(F.lit(lat), F.lit(lon), lat_col, lon_col) <= radius_m)
+
+
+def passes(lat: float, lon: float, radius_m: float, lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    """Whether the straight line between two places comes within a radius of a
+    point, on the plane that touches the globe there."""
+    metre = math.radians(1) * 6_371_000.0
+    turn = lambda c: F.pmod(F.col(c) - lon + 540.0, F.lit(360.0)) - 180.0
+    x1, x2 = (turn(c) * metre * math.cos(math.radians(lat)) for c in (lon1, lon2))
+    y1, y2 = ((F.col(c) - lat) * metre for c in (lat1, lat2))
+    dx, dy = x2 - x1, y2 - y1
+    along = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-(x1 * dx + y1 * dy), dx * dx + dy * dy))), F.lit(0.0))
+    x, y = x1 + along * dx, y1 + along * dy
+    return x * x + y * y <= radius_m * radius_m
 
 
 def area_scan(nodes: DataFrame, ways: DataFrame, lat: float, lon: float, radius_m: float, net: str = "walk") -> tuple[DataFrame, DataFrame]:
-    """(nodes, ways) of an area: whole ways of the network with a node within
-    the radius, and all their nodes. (A street that passes through the circle
-    between two nodes outside it is not seen.)"""
-    inside = nodes.where(near(lat, lon, radius_m)).select("area_id", "id")
+    """(nodes, ways) of an area: whole ways of the network that have a node
+    within the radius or pass through it between two nodes, and all their
+    nodes."""
     kept = ways.where(in_network(net))
+    place = lambda end, k: nodes.select("area_id", F.col("id").alias(end), F.col("lat").alias(f"_y{k}"), F.col("lon").alias(f"_x{k}"))
     refs = kept.select("area_id", "pos", F.explode("refs").alias("id"))
-    hit = refs.join(inside, ["area_id", "id"], "left_semi").select("area_id", "pos").distinct()
+    inside = refs.join(nodes.where(near(lat, lon, radius_m)).select("area_id", "id"), ["area_id", "id"], "left_semi").select("area_id", "pos")
+    lines = segments(kept.select("area_id", F.col("pos").alias("way"), "refs")).join(place("u", 1), ["area_id", "u"]).join(place("v", 2), ["area_id", "v"])
+    crossing = lines.where(passes(lat, lon, radius_m, "_y1", "_x1", "_y2", "_x2")).select("area_id", F.col("way").alias("pos"))
+    hit = inside.unionByName(crossing).distinct()
     kept = kept.join(hit, ["area_id", "pos"], "left_semi")
     members = refs.join(hit, ["area_id", "pos"], "left_semi").select("area_id", "id").distinct()
     return nodes.join(members, ["area_id", "id"], "left_semi"), kept

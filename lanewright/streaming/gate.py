@@ -14,7 +14,9 @@ from lanewright.functions.scalar import COOLDOWN_MS, TTL_MS
 def cooldown_stream(events: DataFrame, window_ms: int = COOLDOWN_MS) -> DataFrame:
     """(key, seq, at, accepted) of a stream of (key, seq, at): state is the time of
     a key's last accepted event. Events of one batch are taken in order of
-    (at, seq); batches in order of arrival."""
+    (at, seq); batches in order of arrival. State is one number a key, for good:
+    a timeout by the clock would keep a bounded run from ending, and one by
+    event time would drop late events."""
 
     def gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None

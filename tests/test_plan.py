@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lanewright import schemas
 from lanewright.operators import areas, graph, runs
+from lanewright.plans import route_plan
 from lanewright.plans.route_plan import plan
 from lanewright.sources import city, gpx
 
@@ -96,3 +97,24 @@ def test_two_ways_to_components(spark):
     assert labels.select("component").distinct().count() == 4
     reach = areas.distances_from(edges, labels.select("area_id", F.col("component").alias("source")).distinct())
     assert labels.join(reach, (reach.id == labels.id) & (reach.source == labels.component)).count() == labels.count()
+
+
+def test_each_request_is_solved_once(spark, tmp_path, monkeypatch):
+    """Whatever is read of the plan; requests of one area share a call."""
+    nodes, edges = city.grid(spark, 6, 5, 0.2, 0.3)
+    mark = str(tmp_path / "calls")
+    solve = route_plan._solve
+
+    def counted(rows, places):
+        with open(mark, "a") as f:
+            f.write(" ".join(rows["request_id"].dropna()) + "\n")
+        return solve(rows, places)
+
+    monkeypatch.setattr(route_plan, "_solve", counted)
+    asks = spark.createDataFrame([(f"q{k:02}", "grid", (3 + k) * MI, 40.70, -74.02, k % 2 == 1, None) for k in range(11)], schemas.REQUESTS)
+    p = plan(nodes, edges, asks)
+    for table in (p.walk, p.runs, p.stats, p.full):
+        assert table.count() > 0
+    assert p.stats.where("n_runs > 0 and covered_mi >= bare_mi").count() == 11
+    calls = open(mark).read()
+    assert len(calls.splitlines()) == 2 and sorted(calls.split()) == [f"q{k:02}" for k in range(11)]

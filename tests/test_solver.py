@@ -30,8 +30,8 @@ def largest(net):
 
 
 def test_shortest_of_parallel_edges_counts():
-    net = Net([("a", "b", 100), ("a", "b", 40), ("b", "a", 999)])
-    assert net.length == {(0, 1): 40} and net.near == [[(1, 40)], [(0, 40)]]
+    net = Net([("a", "b", 71), ("b", "a", 23), ("a", "b", 58)])
+    assert net.length == {(0, 1): 23} and net.near == [[(1, 23)], [(0, 23)]]
 
 
 def test_shortest_paths():
@@ -136,3 +136,15 @@ def test_zones():
     net = Net([("a", "b", 1), ("b", "c", 1), ("c", "d", 1)], ["a", "b", "c", "d", "e"])
     grown = solver.grow(net, lat, lon, 2)
     assert grown.tolist() == [0, 0, 1, 1, 0]
+
+
+def test_route_over_an_edge_shorter_than_the_float_spacing():
+    net = Net([("a", "b", 1e6), ("b", "c", 1e-12), ("c", "d", 1e6)])
+    assert solver.route(net, 0, 3) == [0, 1, 2, 3] and solver.route(net, 3, 0) == [3, 2, 1, 0]
+
+
+def test_the_better_of_two_rewirings_is_taken():
+    known = {(0, 1): 10.0, (2, 3): 10.0, (0, 2): 9.0, (1, 3): 9.0, (0, 3): 1.0, (1, 2): 1.0}
+    mate = {0: 1, 1: 0, 2: 3, 3: 2}
+    solver.swap(mate, known)
+    assert mate == {0: 3, 3: 0, 1: 2, 2: 1}

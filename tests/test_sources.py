@@ -1,12 +1,13 @@
 """Responses, filters, look-ups, cache, cooldown, scalar functions."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lanewright.functions import scalar as S
-from lanewright.operators import cache, graph
+from lanewright.operators import cache, graph, runs
 from lanewright.sources import gpx, osm
 from lanewright.streaming import gate
 
@@ -79,8 +80,8 @@ def test_small_encoding_is_lossless(spark, tmp_path):
 
 
 def test_keys(spark):
-    assert one(spark, S.area_key(F.lit("walk"), F.lit(1931.2), F.lit(40.7290123), F.lit(-73.9905456))) == ("walk|1931|40.7290|-73.9905",)
-    assert one(spark, S.address_key(F.lit("  40\t Cooper \n SQ  "))) == ("40 cooper sq",)
+    assert one(spark, S.area_key(F.lit("walk"), F.lit(1931.2), F.lit(48.1370061), F.lit(11.5754949))) == ("walk|1931|48.1370|11.5755",)
+    assert one(spark, S.address_key(F.lit("\u3000 12\t Upper \n\x0b ROW\ufeff  "))) == ("12 upper row",)
 
 
 @pytest.mark.parametrize("now,last,left", [(5000, None, 0), (1000, 1000, 60000), (31000, 1000, 30000), (61000, 1000, 0), (99000, 1000, 0)])
@@ -132,7 +133,7 @@ def test_streams_agree_with_tables(spark, tmp_path):
 def test_scalars(spark):
     assert one(spark, S.half_up(F.lit(-2.5)).cast("int"), S.half_up(F.lit(2.5)).cast("int")) == (-2, 3)
     assert (S.exact_fixed(1.005, 2), S.exact_fixed(2.5, 0), S.exact_fixed(-2.5, 0), S.exact_fixed(None, 1)) == (1.0, 3.0, -3.0, None)
-    assert one(spark, S.xml_escape(F.lit("Tom & Jerry <St> \"Ave\" 'x'"))) == ("Tom &amp; Jerry &lt;St&gt; &quot;Ave&quot; &apos;x&apos;",)
+    assert one(spark, S.xml_escape(F.lit("'Salt' & <Pepper> \"lane\""))) == ("&apos;Salt&apos; &amp; &lt;Pepper&gt; &quot;lane&quot;",)
     assert one(spark, S.number_text(F.lit(-74.0)), S.number_text(F.lit(0.0001)), S.number_text(F.lit(40.728498))) == ("-74", "0.0001", "40.728498")
     assert one(spark, S.uri_component(F.lit("a b&c=é(1)*"))) == ("a%20b%26c%3D%C3%A9(1)*",)
     assert one(spark, S.from_fixed7(S.to_fixed7(F.lit(40.1234567))), S.color(F.lit(1), F.lit(4))) == (40.1234567, "hsl(90,70%,62%)")
@@ -151,3 +152,60 @@ def test_area_scan(spark):
     ways = spark.createDataFrame([("g", 1, ["b", "c"], {"highway": "path"}), ("g", 2, ["c", "d"], {"highway": "path"}), ("g", 3, ["a", "b"], {"highway": "trunk"})], "area_id string, pos int, refs array<string>, tags map<string,string>")
     n, w = osm.area_scan(nodes, ways, 40.0, -74.0, 500)
     assert [r.pos for r in w.collect()] == [1] and sorted(r.id for r in n.collect()) == ["b", "c"]
+
+
+def test_area_scan_sees_streets_that_pass_through(spark):
+    """A long street between two nodes out of reach, also across 180 degrees."""
+    for lon in (10.0, 179.9995):
+        wrap = lambda x: (x + 540) % 360 - 180
+        places = [("a", 0.001, lon - 0.02), ("b", 0.001, lon + 0.02), ("c", 0.05, lon), ("d", 0.06, lon), ("e", 0.0, lon + 0.001), ("f", 0.05, lon + 0.03)]
+        nodes = spark.createDataFrame([("g", i, y, wrap(x), None) for i, y, x in places], "area_id string, id string, lat double, lon double, ele double")
+        ways = spark.createDataFrame([("g", 1, ["a", "b"], {"highway": "residential"}), ("g", 2, ["c", "d"], {"highway": "residential"}), ("g", 3, ["e", "f"], {"highway": "residential"})], "area_id string, pos int, refs array<string>, tags map<string,string>")
+        found, kept = osm.area_scan(nodes, ways, 0.0, wrap(lon), 500)
+        assert {r.pos for r in kept.collect()} == {1, 3} and {r.id for r in found.collect()} == {"a", "b", "e", "f"}
+
+
+def test_written_tracks(spark, tmp_path):
+    point = lambda y: (y, -74.0, None)
+    table = spark.createDataFrame([(q, r, [point(40.0 + r), point(41.0)]) for q in ("q1", "q2") for r in (1, 2)], "request_id string, run_id int, coords array<struct<lat:double,lon:double,ele:double>>")
+    gpx.write_tracks(table, str(tmp_path / "gpx"), "Walk ")
+    files = {p.relative_to(tmp_path / "gpx").parts[:2]: p.read_text() for p in (tmp_path / "gpx").rglob("*.txt")}
+    assert set(files) == {(f"request_id={q}", f"run_id={r}") for q in ("q1", "q2") for r in (1, 2)}
+    want = {(r.request_id, r.run_id): r.gpx for r in gpx.tracks(table, "Walk ").collect()}
+    assert all(files[f"request_id={q}", f"run_id={r}"] == t + "\n" for (q, r), t in want.items())
+
+
+def test_saved_plan(spark, tmp_path):
+    (tmp_path / "plan.json").write_text('{"center": [1.5, 2.5],\n "runs": [{"id": 1, "length_mi": 2.0, "zone": 0, "color": "red", "coords": [[1.0, 2.0], [1.5, 2.0]]}],\n "stats": {"n_runs": 1, "zones": 1}}')
+    r = osm.read_demo(spark, str(tmp_path / "plan.json")).first()
+    assert r.center == [1.5, 2.5] and r.runs[0].coords == [[1.0, 2.0], [1.5, 2.0]] and (r.stats.n_runs, r.stats.bare_mi) == (1, None)
+
+
+def test_store_with_a_failing_medium():
+    """A write that raises makes older records go; with none left the put fails."""
+    held, room = {}, [2]
+
+    def write(key, value):
+        if len(held) >= room[0]:
+            raise OSError("no space")
+        held[key] = value
+
+    def remove(key):
+        held.pop(key, None)
+        raise OSError("not now")
+
+    s = cache.Store(1000, write=write, remove=remove)
+    assert s.put("A", 1, 0, "a") == (True, []) and s.put("B", 1, 1, "b") == (True, []) and s.get("A", 2)
+    assert s.put("C", 1, 3, "c") == (True, ["B"]) and set(held) == {"A", "C"} == set(s.records) and s.used == 4
+    room[0] = 0
+    assert s.put("D", 1, 4) == (False, ["A", "C"]) and not s.records and s.used == 0 and not held
+
+
+def test_long_keys_take_time_in_proportion(spark):
+    """One key of many rows: cut into runs, and gated, in one pass."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias("pos"), F.lit(1.0).alias("len"), F.col("id").alias("seq"), (F.col("id") * 10).alias("at"))
+    t = time.time()
+    assert runs.split_runs(rows.select("key", "pos", "len"), ["key"], "pos", "len", 10.0).where(F.col("run") != F.floor(F.col("pos") / 10)).count() == 0
+    gated = cache.cooldown_gate(rows.select("key", "seq", "at"), ["key"], 30)
+    assert gated.where("accepted").count() == -(-n // 3) and time.time() - t < 30
