@@ -2,50 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewright.scratch import discard as discard
+from lanewright.scratch import written as materialise
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_own_dirs: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for tables that cut lineage: ``spark.checkpoint.dir``.
-
-    Only a one-machine ``local[...]`` session without that setting (as in
-    tests) gets a temporary folder of its own.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="lanewright-")
-        atexit.register(shutil.rmtree, _own_dirs[app], True)
-    return "file://" + _own_dirs[app]
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The table survives lost executors and cuts the lineage, so nothing above
-    is computed twice.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lanewright/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import materialise
+from lanewright.llm.common import discard, materialise
 
 
 def connected_components(links: DataFrame, label: str = "cc") -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame, label: str = "cc") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        before, edges = edges, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        discard(before)
         ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 0 and up + down > 1").isEmpty():
             break

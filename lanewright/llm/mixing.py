@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import CONTENT, content_rows, exploded, materialise
+from lanewright.llm.common import CONTENT, content_rows, discard, exploded, materialise
 
 #: No document is taken more often than this.
 MOST_COPIES = 3
@@ -69,7 +69,7 @@ def balance(targets: DataFrame) -> DataFrame:
     Sources without words or without a target get the limits 1 and 0.
     """
     active = (F.col("source_size") > 0) & (F.col("target") > 0)
-    state = materialise(targets.withColumn("_lambda", F.lit(0.0)), "dual")
+    held = state = materialise(targets.withColumn("_lambda", F.lit(0.0)), "dual")
     mass = F.col("source_size").cast("double")
     for _ in range(NEWTON_ROUNDS // 6):
         lam = F.col("_lambda")
@@ -79,6 +79,8 @@ def balance(targets: DataFrame) -> DataFrame:
             state = state.withColumn("_lambda", lam)
             lam = F.col("_lambda")
         state = materialise(state, "dual")
+        discard(held)
+        held = state
         error = state.where(active).agg(F.max(F.abs(mass * F.exp("_lambda") - F.col("target")) / F.col("target"))).first()[0]
         if error is None or error < TOLERANCE:
             break

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import keyed_rows, materialise, only_ids, without_ids
+from lanewright.llm.common import discard, keyed_rows, materialise, only_ids, without_ids
 from lanewright.llm.components import connected_components
 from lanewright.llm.hashing import U, buffers, chunks, mix, ngram_hashes, slices, word_hashes
 
@@ -435,6 +435,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if stars is not None:
         links = links.unionByName(stars)
     reached = connected_components(links, "near").withColumnRenamed("node", "rep")
+    for table in (posts, retained, *(() if stars is None else (big, stars, labelled))):
+        discard(table)
 
     named = reps.join(reached, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -16,43 +16,53 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are one group; ties of an id are kept together."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without words are linked with nothing; rows of one id are one document."""
     return near_dedup.near_duplicates(table(spark, sf_dir), shingle=3, percent=85)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have size 0; null sources are one source, weighed last; equal rows are interchangeable."""
     return mixing.mix_sources(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty; rows with null or repeated ids are documents of their own."""
     spans = suffix_dedup.repeated_spans(table(spark, sf_dir))
     return spans.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no tokens; repeated rows are counted each."""
     return token_count.token_counts(table(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have size 16 and checksum 0; repeated rows get places of their own."""
     return sharding.shard_table(table(spark, sf_dir))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold nothing; repeated rows are judged each."""
     return pii.personal_data(table(spark, sf_dir)).drop("spans_found")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty and null texts get the score of the bias; of several labels of an id the largest counts."""
     return quality.quality_scores(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold no notice; rows that repeat an id count as one."""
     return license_scan.licences(table(spark, sf_dir), phrases=license_scan.PHRASES)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold nothing; rows that repeat a document give one row an item."""
     return decontamination.contaminated(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
