@@ -75,6 +75,28 @@ ORACLE_SQL = {
     "op1_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) keep_id, count(*) OVER (PARTITION BY t) group_size, doc_id = max(doc_id) OVER (PARTITION BY t) kept, sha256(t) text_sha256 FROM d""",
+    "op2_minhash_near_dedup": """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(2, len(w) - 1)) END, lambda i: array_to_string(w[i:i+2], ' '))) g FROM d),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) n, hash(list_sort(g)) x, g FROM s),
+r AS (SELECT x, min(doc_id) rep, any_value(n) n, arg_min(g, doc_id) g FROM n WHERE n > 0 GROUP BY x),
+post AS (SELECT rep, n, unnest(g) g FROM r),
+met AS (SELECT a.rep a, b.rep b, a.n na, b.n nb, count(*) c FROM post a JOIN post b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+link AS (SELECT a, b FROM met WHERE 100 * c >= 85 * (na + nb - c)),
+arc AS (SELECT a u, b v FROM link UNION ALL SELECT b, a FROM link),
+reach(u, v) AS (SELECT rep, rep FROM r UNION SELECT x.u, a.v FROM reach x JOIN arc a ON a.u = x.v),
+part AS (SELECT u rep, min(v) component FROM reach GROUP BY 1)
+SELECT n.doc_id, n.n n_shingles, coalesce(component, n.doc_id) component_id, n.doc_id = coalesce(component, n.doc_id) kept FROM n LEFT JOIN r ON r.x = n.x AND n.n > 0 LEFT JOIN part p ON p.rep = r.rep""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 200)) x FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) i FROM d WHERE len(h) >= 200)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) k FROM w) WHERE k > 1),
+mark AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END new FROM late),
+run AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) r FROM mark),
+span AS (SELECT doc_id, r, min(i) a, max(i) + 100 b FROM run GROUP BY 1, 2),
+gap AS (SELECT s.doc_id, s.a, s.b, coalesce(lag(s.b) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) f FROM span s),
+cut AS (SELECT g.doc_id, CAST(sum(g.b - g.a) AS BIGINT) removed, count(*) spans, string_agg(substr(d.h, 2 * g.f + 1, 2 * (g.a - g.f)), '' ORDER BY g.a) front, max(g.b) e FROM gap g JOIN d ON d.doc_id = g.doc_id GROUP BY 1)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) n_bytes, coalesce(removed, 0) n_removed, coalesce(spans, 0) n_spans, sha256(unhex(CASE WHEN c.doc_id IS NULL THEN h ELSE front || substr(h, 2 * e + 1) END)) kept_sha256 FROM d LEFT JOIN cut c ON c.doc_id = d.doc_id""",
     "op3_source_mixing": """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) s FROM d GROUP BY 1),
