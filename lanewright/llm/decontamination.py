@@ -15,7 +15,8 @@ from lanewright.llm.hashing import IS_LETTER, U, buffers, chunks, ngram_hashes,
 #: Words of a seed.
 SEED = 3
 #: A seed is rare if its words meet by chance at no more than this share of
-#: all positions; every item keeps its KEEP rarest seeds at least.
+#: all positions, or if it is one of its item's KEEP rarest. A hit of a rare seed
+#: is aligned at once, one of another seed if a bound of its score allows.
 RARE = 1e-8
 KEEP = 8
 #: Score of an equal word, of another word, and of a word left out.
@@ -63,36 +64,37 @@ def word_shares(texts: DataFrame, wanted: np.ndarray) -> np.ndarray:
 
 
 class Seeds:
-    """Rare seeds of benchmark items, by hash."""
+    """Seeds of benchmark items, by hash, and which of them are rare."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], wanted: np.ndarray, shares: np.ndarray):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
-        hashes, owners, places = [], [], []
+        hashes, owners, rare = [], [], []
         for k, (_, words) in enumerate(items):
             if len(words) < SEED:
                 continue
             grams, _ = ngram_hashes(words, np.array([0, len(words)]), SEED)
             share = shares[np.searchsorted(wanted, words)]
             chance = np.prod([share[j : len(share) - SEED + 1 + j] for j in range(SEED)], axis=0)
-            keep = np.union1d(np.flatnonzero(chance <= RARE), np.argsort(chance, kind="stable")[:KEEP])
-            hashes.append(grams[keep])
-            owners.append(np.full(len(keep), k))
-            places.append(keep)
+            hashes.append(grams)
+            owners.append(np.full(len(grams), k))
+            rare.append(chance <= RARE)
+            rare[-1][np.argsort(chance, kind="stable")[:KEEP]] = True
+        places = [np.arange(len(g)) for g in hashes]
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        hashes, owners, places = join(hashes, U), join(owners, np.int64), join(places, np.int64)
+        hashes, owners, places, rare = join(hashes, U), join(owners, np.int64), join(places, np.int64), join(rare, bool)
         by = np.argsort(hashes, kind="stable")
-        self.hashes, self.owners, self.places = hashes[by], owners[by], places[by]
+        self.hashes, self.owners, self.places, self.rare = hashes[by], owners[by], places[by], rare[by]
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the text, item, position in the item) of equal seeds."""
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(position in the text, item, position in the item, rare) of equal seeds."""
         lo = np.searchsorted(self.hashes, grams, "left")
         found = np.flatnonzero((lo < len(self.hashes)) & (self.hashes[np.minimum(lo, len(self.hashes) - 1)] == grams)) if len(self.hashes) else np.empty(0, np.int64)
         lo = lo[found]
         many = np.searchsorted(self.hashes, grams[found], "right") - lo
         row = np.repeat(np.arange(len(found)), many)
         at = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        return found[row], self.owners[at], self.places[at]
+        return found[row], self.owners[at], self.places[at], self.rare[at]
 
 
 def align(text: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
@@ -124,13 +126,42 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * n), best_from, end
 
 
+def spare_words(n: int, least: float) -> int:
+    """By how many words the longest copy of an item of ``n`` words that can
+    still reach the least score is longer than the item."""
+    return int(n * (1 + MATCH * (1 - least) / -GAP)) + 1
+
+
+def most(words: np.ndarray, item: np.ndarray, at: int, place: int, least: float) -> float:
+    """No alignment of text and item that passes through a seed, at ``at`` in the
+    text and ``place`` in the item, scores more. To either side of the seed every
+    text word is a match if that side of the item has the word, and a loss if not;
+    an alignment ends where that sum is largest, at best."""
+    spare = spare_words(len(item), least)
+    before, after = item[:place], item[place + SEED :]
+    left = words[max(0, at - place - spare) : at][::-1]
+    right = words[at + SEED : at + SEED + len(after) + spare]
+    loss = max(MISMATCH, GAP)
+    score = MATCH * SEED
+    for text, side in ((left, before), (right, after)):
+        if len(text) and len(side):
+            score += min(MATCH * len(side), np.where(np.isin(text, side), MATCH, loss).cumsum().max(initial=0.0))
+    return score / (MATCH * len(item))
+
+
 def matches(words: np.ndarray, seeds: Seeds, least: float) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, start, end) of the best alignment of each item that a seed
-    of the text points to; hits that one copy can explain share a window."""
+    of the text points to; hits that one copy can explain share a window. Every
+    seed is looked up; hits of frequent seeds that cannot reach the least score
+    are left out before the alignment."""
     if len(words) < SEED:
         return
     grams, _ = ngram_hashes(words, np.array([0, len(words)]), SEED)
-    at, owner, place = seeds.hits(grams)
+    at, owner, place, rare = seeds.hits(grams)
+    keep = rare.copy()
+    for k in np.flatnonzero(~rare):
+        keep[k] = most(words, seeds.words[owner[k]], at[k], place[k], least) >= least
+    at, owner, place = at[keep], owner[keep], place[keep]
     by = np.lexsort((at, owner))
     at, owner, place = at[by], owner[by], place[by]
     edges = np.flatnonzero(np.diff(owner)) + 1
@@ -139,8 +170,7 @@ def matches(words: np.ndarray, seeds: Seeds, least: float) -> Iterator[tuple[int
             continue
         item = seeds.words[owner[a]]
         n = len(item)
-        # the longest copy that can still reach the least score
-        spare = int(n * (1 + MATCH * (1 - least) / -GAP)) + 1
+        spare = spare_words(n, least)
         lo, hi = np.maximum(0, at[a:b] - place[a:b] - spare), np.minimum(len(words), at[a:b] - place[a:b] + n + spare)
         reach = np.maximum.accumulate(hi)
         new = np.ones(b - a, bool)
@@ -182,12 +212,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, score, start_word, end_word): each benchmark item that
     a document holds a whole, edited or paraphrased copy of.
 
-    Words are runs of letters and digits in lower case. Every rare SEED-word
+    Words are runs of letters and digits in lower case. Every SEED-word
     sequence of an item is looked up at every position of every text; the
     words around a hit are aligned with the item, and the best alignment counts
-    if its score is ``least`` of an unchanged copy's or more. Rarity is the
-    product of the words' shares of the corpus, so a passage that was copied a
-    million times keeps its seeds. Each document and item give one row at most:
+    if its score is ``least`` of an unchanged copy's or more. Hits of rare seeds
+    are aligned at once; those of other seeds are aligned if a bound from the
+    words around them leaves the least score in reach, so none that counts is
+    lost. Rarity is the product of the words' shares of the corpus, so a passage
+    that was copied a million times keeps its seeds. Each document and item give one row at most:
     the best passage, the first of equals.
 
     Null and empty texts hold nothing; items of under SEED words, empty or null

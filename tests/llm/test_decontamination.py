@@ -30,6 +30,29 @@ def test_alignment_scores(seed):
         assert 0 <= start < end <= len(a) and table(a[start:end], b) == pytest.approx(score)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_frequent_seeds_lose_nothing(seed):
+    """The bound leaves out no hit that an alignment would have accepted: all
+    seeds taken as frequent give the rows that all seeds taken as rare give."""
+    rng = np.random.default_rng(seed)
+    kinds = int(rng.choice([4, 12, 60]))
+    draw = lambda n: rng.integers(0, kinds, n).astype(np.uint64)
+    items = [(k, draw(rng.integers(3, 40))) for k in range(8)]
+    texts = [draw(300)]
+    for _, item in items:
+        copy = item.copy()
+        copy[rng.random(len(copy)) < 0.25] = rng.integers(0, kinds)
+        texts.append(np.concatenate([draw(60), copy, draw(60), draw(40), item[rng.random(len(item)) < 0.8]]))
+    wanted = np.arange(kinds, dtype=np.uint64)
+    seeds = dc.Seeds(items, wanted, np.full(kinds, 1 / kinds))
+    found = []
+    for rare in (True, False):
+        seeds.rare[:] = rare
+        found.append([list(dc.matches(t, seeds, dc.SCORE)) for t in texts])
+    accepted = [[m[:2] for m in rows] for rows in found[0]]
+    assert accepted == [[m[:2] for m in rows] for rows in found[1]] and any(accepted)
+
+
 def test_documents(spark, documents, sf_dir):
     """Short texts against every item by the full table; whole copies in all texts."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -77,6 +100,19 @@ def test_passes_agree(spark, documents, sf_dir, monkeypatch):
     assert sorted(map(str, dc.contaminated(documents, items).collect())) == whole and whole
 
 
+def test_copy_with_frequent_seeds_only(spark):
+    """A copy that keeps none of its item's rare seeds is found by the others."""
+    often = [f"w{k}" for k in range(14)]
+    item = often[:7] + [f"only{k}" for k in range(10)] + often[7:]
+    copy = often[:7] + [w for k in range(10) for w in ([f"only{k}", "x"] if k % 2 else [f"only{k}"])] + often[7:]
+    rows = [(k, " ".join(often)) for k in range(400)] + [(1000, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in dc.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    words = [WORD.findall(t) for _, t in rows]
+    assert found.keys() == {i for (i, _), w in zip(rows, words, strict=True) if table(w, item) >= dc.SCORE} and 1000 in found
+    assert found[1000] == pytest.approx(table(copy, item))
+
+
 def test_edge_rows(spark, edge, edge_rows):
     text = dict(edge_rows)[18]
     bench = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "one"), (None, text), (5, text.split(" ", 20)[-1]), (5, "quite other words here")], "item_id long, text string")
