@@ -30,6 +30,13 @@ def test_alignment_scores(seed):
         assert 0 <= start < end <= len(a) and table(a[start:end], b) == pytest.approx(score)
 
 
+def test_words_among_others():
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 7), (300, 400), (1, 1)):
+        a, b = rng.integers(0, 500, n).astype(np.uint64), rng.integers(0, 500, m).astype(np.uint64)
+        assert (dc.among(a, b) == np.isin(a, b)).all()
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_frequent_seeds_lose_nothing(seed):
     """The bound leaves out no hit that an alignment would have accepted: all
