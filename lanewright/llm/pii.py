@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lanewright.llm.common import materialise, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = (*KINDS, "name", "ssn")
+MORE_KINDS = (*KINDS, "name", "ssn", "secret")
 #: A candidate is added from this belief on.
 CERTAIN = 0.9
 
@@ -36,17 +36,30 @@ CANDIDATES = {
     "number": r"(?<![0-9A-Za-z.@+(-])[(+]?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])",
     "written": r"(?i)[a-z0-9_+-]{1,64}+(?:\.[a-z0-9_+-]{1,64}+){0,3} ?(?:[\[({]at[\])}]| at ) ?[a-z0-9-]{1,63}(?: ?(?:[\[({]dot[\])}]| dot ) ?[a-z0-9-]{2,63}){1,4}",
     "titled": r"(?<![A-Za-z])(?:Mrs|Mr|Ms|Dr|Prof)\. [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?",
+    "secret": r"(?<![A-Za-z0-9_+/@-])(?=[A-Za-z_+/-]{0,255}[0-9])(?=[0-9_+/-]{0,255}[A-Za-z])[A-Za-z0-9_+/-]{16,256}+={0,2}(?![A-Za-z0-9@])",
 }
 CANDIDATE_GUARD = {
     "number": r"[0-9](?:[ ().-]{0,2}[0-9]){6}",
     "written": r"(?i)[\[({]dot[\])}]| dot ",
     "titled": r"(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z]",
+    "secret": r"[A-Za-z0-9_+/-]{16}",
 }
 
-# Gazetteers.
-DOMAINS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "eu", "us"]
-NAMES = ["james", "mary", "john", "patricia", "robert", "jennifer", "michael", "linda", "david", "maria", "anna", "peter", "thomas", "laura", "carlos", "marie", "hans", "jean", "jose", "sofia"]
-AREA_CODES = ["1", "33", "34", "44", "49", "39", "31", "41", "43", "32", "45", "46", "47", "48", "7", "81", "86", "91", "61", "55", "52"]
+# Gazetteers. Common top-level domains, first names of several
+# languages, and the first two digits of country calling codes ("1" and "7"
+# are whole zones; the others left out are not assigned).
+DOMAINS = (
+    "com org net edu gov mil int info biz name pro io ai app dev co me tv eu us ca mx br ar cl pe uk ie fr de at ch li be nl lu es pt it gr mt dk se no fi is ee lv lt "
+    "pl cz sk hu ro bg hr si rs ua by ru tr il ae sa eg za ng ke in pk cn hk tw jp kr sg my th vn id ph au nz"
+).split()
+NAMES = (
+    "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen christopher nancy daniel lisa matthew betty "
+    "anthony margaret mark sandra paul ashley steven emily andrew donna kenneth michelle george carol kevin amanda brian laura edward anna peter julia alice emma olivia noah liam lucas mia "
+    "hans klaus wolfgang juergen stefan andreas monika ursula sabine petra claudia heike jean pierre michel marie jacques philippe nathalie isabelle sophie camille antoine "
+    "jose maria carlos juan luis carmen ana miguel javier sofia pablo lucia diego elena giuseppe giovanni mario luigi francesca giulia paolo marco ahmed mohammed fatima omar ali wei li ming yuki hiroshi"
+).split()
+CALLING_CODES = r"^(?:1|7|2[0-79]|[3-6][0-9]|8[0-24-8]|9[0-9])"
+SECRET_HEADS = r"^(?:AKIA|ASIA|AIza|ya29|eyJ|gh[oprsu]_|github_pat_|glpat-|xox[abprs]-|[spr]k[-_]|npm_|hf_)"
 
 #: Words before a span that speak for a kind, and words that speak against any.
 CUES = {
@@ -56,8 +69,10 @@ CUES = {
     "phone": r"(?i)phone|\btel\b|call|mobile|fax|whatsapp|\bcell\b",
     "name": r"(?i)name|contact|dear|signed|patient|by",
     "ssn": r"(?i)ssn|social security|tax id",
+    "secret": r"(?i)token|secret|passw|\bpwd\b|key|credential|bearer|auth",
 }
 AGAINST = r"(?i)isbn|issn|doi|version|\bv\.?$|order|invoice|serial|page|figure|build|[#$€£]\s?$|=\s?$"
+AGAINST_SECRET = r"(?i)sha-?[0-9]|md5|commit|checksum|hash|digest|uuid|etag|revision|https?:|file|path"
 UNITS = r"^\s?(?:%|kg|km|mm|cm|usd|eur|ms\b|mb\b|gb\b|px\b)"
 
 LABELERS = ("shape", "gazetteer", "context", "surroundings")
@@ -189,24 +204,29 @@ def candidate_spans(text: Column) -> Column:
             grouped = found.rlike(r"[0-9][ ().-]+[0-9]")
             shape = F.when(is_ip, _vote(valid("ip", found), F.lit(True))).when(is_ssn, _vote(~found.rlike("^(?:000|666|9)"), F.lit(True))).when(n >= 14, _vote(F.when(n >= 14, luhn(number)), F.lit(True)))
             shape = shape.otherwise(_vote(found.rlike(r"^(?:\+|\()") & (n >= 9) | found.rlike(r"^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), ~grouped))
-            prefix = F.substr(number, F.lit(1), F.lit(2))
             known = F.when(is_ip, _vote(~found.rlike(r"^(?:0|127|255)\."), F.lit(True))).when(n >= 14, _vote(number.rlike(r"^(?:4|5[1-5]|3[47]|6011|65)"), F.lit(True)))
-            known = known.otherwise(_vote(found.startswith("+") & (prefix.isin(AREA_CODES) | F.substr(number, F.lit(1), F.lit(1)).isin(AREA_CODES)), F.lit(False)))
+            known = known.otherwise(_vote(found.startswith("+") & number.rlike(CALLING_CODES), F.lit(False)))
         elif family == "written":
             kind, grouped = F.lit(MORE_KINDS.index("email")), F.lit(False)
-            shape = _vote(found.rlike(r"[\[({]"), F.lit(False))
+            shape = _vote(found.rlike(r"[\[({]"), F.lit(True))
             known = _vote(F.lower(F.regexp_extract(found, r"([A-Za-z0-9-]+)$", 1)).isin(DOMAINS), F.lit(True))
+        elif family == "secret":
+            kind, grouped = F.lit(MORE_KINDS.index("secret")), F.lit(False)
+            mixed = found.rlike("[a-z]") & found.rlike("[A-Z]") & ~found.rlike("[/-]")
+            shape = _vote(found.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | mixed, found.rlike(r"[A-Za-z]{3,}[/_-][A-Za-z]{3,}"))
+            known = _vote(found.rlike(SECRET_HEADS), F.lit(False))
         else:
             kind, grouped = F.lit(MORE_KINDS.index("name")), F.lit(False)
             shape = _vote(found.rlike(r"\. [A-Z][a-z]+ [A-Z][a-z]+$"), F.lit(False))
             known = _vote(F.lower(F.regexp_extract(found, r"\. ([A-Za-z]+)", 1)).isin(NAMES), F.lit(False))
         before, after = m["before"], m["after"]
+        against = AGAINST_SECRET if family == "secret" else AGAINST
         cue = F.lit(False)
         for k, name in enumerate(MORE_KINDS):
             cue = cue | ((kind == k) & before.rlike(CUES[name]))
         return F.struct(
             m["start"].alias("start"), kind.alias("kind_no"), m["end"].alias("end"),
-            F.array(shape, known, _vote(cue, F.lit(False)), _vote(F.lit(False), before.rlike(AGAINST) | after.rlike(UNITS))).alias("votes"),
+            F.array(shape, known, _vote(cue, F.lit(False)), _vote(F.lit(False), before.rlike(against) | after.rlike(UNITS))).alias("votes"),
             F.least(F.lit(4), F.floor(n / 4)).cast("int").alias("digits"), grouped.cast("int").alias("grouped"),
         )
 
@@ -258,7 +278,7 @@ def train(rows: list[tuple[int, tuple[int, ...], int, int, int]]) -> np.ndarray:
     """Weights of a logistic span classifier, fitted on the beliefs of EM.
 
     Rows are (kind, votes, digits, grouped, count), one for each combination
-    that occurs: 6 x 81 x 5 x 2 at most, whatever the size of the corpus.
+    that occurs: 7 x 81 x 5 x 2 at most, whatever the size of the corpus.
     """
     trust, share = reliabilities([(k, v, n) for k, v, _, _, n in rows])
     size = len(_features(0, (0,) * len(LABELERS), 0, 0))
@@ -298,12 +318,12 @@ def _joined(spans: Column) -> Column:
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone,
-    base_sha256, spans, and the spans as an array.
+    base_sha256, spans, n_spans (how many those are), and the spans as an array.
 
     Base spans are the valid matches of the four base patterns, leftmost and
     non-overlapping for each kind; kinds may overlap each other. They always
     stay. Wider patterns propose candidates (numbers, written-out addresses,
-    titled names); a shape, a gazetteer and two context labelers vote on them,
+    titled names, long runs of letters and digits that may be keys or passwords); a shape, a gazetteer and two context labelers vote on them,
     expectation maximisation over the counts of vote patterns weighs the
     labelers, and a classifier trained on its beliefs adds the candidates of
     CERTAIN or more that overlap no base span. ``spans`` lists all as
@@ -319,10 +339,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = materialise(read.select("doc_id", base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("more")), "spans")
     free = found.select("doc_id", "base", _apart(F.col("more"), F.col("base")).alias("more"))
     seen = free.select(F.explode("more").alias("c")).groupBy("c.kind_no", "c.votes", "c.digits", "c.grouped").agg(F.count("*").alias("n"))
-    rows = sorted((r["kind_no"], tuple(r["votes"]), r["digits"], r["grouped"], r["n"]) for r in seen.collect())  # 4,860 rows at most
+    rows = sorted((r["kind_no"], tuple(r["votes"]), r["digits"], r["grouped"], r["n"]) for r in seen.collect())  # 5,670 rows at most
     weights = train(rows)
     added = F.transform(F.filter("more", lambda c: _score(c, weights) >= CERTAIN), lambda c: F.struct(c["start"].alias("start"), c["kind_no"].alias("kind_no"), c["end"].alias("end")))
     out = free.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans_found"))
     number = F.transform("base", lambda b: b["kind_no"])
     counts = [(F.size("base") - F.size(F.array_remove(number, no))).cast("long").alias(f"n_{kind}") for no, kind in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans_found")).alias("spans"), "spans_found")
+    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans_found")).alias("spans"), F.size("spans_found").cast("long").alias("n_spans"), "spans_found")
