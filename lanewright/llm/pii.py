@@ -42,7 +42,7 @@ CANDIDATE_GUARD = {
     "number": r"[0-9](?:[ ().-]{0,2}[0-9]){6}",
     "written": r"(?i)[\[({]dot[\])}]| dot ",
     "titled": r"(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z]",
-    "secret": r"[A-Za-z0-9_+/-]{16}",
+    "secret": r"[0-9](?:(?=[A-Za-z_+/-])|(?<=[A-Za-z_+/-][0-9]))",
 }
 
 # Gazetteers. Common top-level domains, first names of several
