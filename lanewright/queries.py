@@ -252,6 +252,8 @@ def cut_edges(spark, sf):
 
 
 def bfs_partition(spark, sf):
+    """Every node in reach goes with its seed, however many steps away; the SQL
+    follows 60 of them and takes what lies beyond as out of reach."""
     nodes, edges = _city(spark, sf)
     return areas.grown_zones(edges, nodes, 3)
 

@@ -36,3 +36,19 @@ def test_query(spark, sf_dir, db, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracle.ORACLE_SQL)))
 def test_query_without_sql(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_zones_grow_past_the_steps_that_the_sql_follows(spark, tmp_path):
+    """A street winding through a block: 60 steps do not reach its end. With more
+    of them, and nothing else changed, the SQL agrees."""
+    cells = [(p, p // 20, p % 20) for p in range(400)]
+    part = [(p, "STANDARD", "Brand#11", 1 if r % 2 == 0 or c == (19 if r % 4 == 1 else 0) else 3, 900.0) for p, r, c in cells]
+    spark.createDataFrame(part, "p_partkey long, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = queries.bfs_partition(spark, str(tmp_path))
+    mine = rows(got.columns, [tuple(r) for r in got.collect()])
+    sql = oracle.ORACLE_SQL["bfs_partition"]
+    assert sql.count("p.h<60") == 1
+    short, whole = (rows([d[0] for d in want.description], want.fetchall()) for text in (sql, sql.replace("p.h<60", "p.h<400")) for want in [con.execute(text)])
+    assert mine == whole and mine != short
