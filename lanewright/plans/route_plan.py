@@ -68,20 +68,26 @@ def _walk(ask: pd.Series, full: solver.Net, lat, lon, contracted: dict) -> list[
     by_zone: dict[int, list] = {}
     for u, v, d, _ in merged:
         by_zone.setdefault(zone_of[u], []).append((u, v, d))
-    order = sorted(by_zone)
+    order, home = sorted(by_zone), None
     if start is not None:
         centre = {}
         for z, part in by_zone.items():
             ends = sorted({n for u, v, _ in part for n in (u, v)})
             centre[z] = _metres(lat[start], lon[start], lat[ends].mean(), lon[ends].mean())
         order.sort(key=lambda z: (centre[z], z))
+        # the first run leaves from the anchor, so a zone with a street of it leads
+        home = next((z for z in order if any(start in e[:2] for e in by_zone[z])), None)
+        order.sort(key=lambda z: z != home)
     k = None if pd.isna(ask["match_k"]) else float(ask["match_k"])
     out, at, run, component = [], start, 0, 0
     for z in order:
         net = solver.Net((full.ids[u], full.ids[v], d) for u, v, d in by_zone[z])
         place = [full.index[n] for n in net.ids]
         times = solver.augment(net, k)
-        for part in solver.pieces(net):
+        pieces = solver.pieces(net)
+        if home is not None and z == home:
+            pieces.sort(key=lambda part: net.index[full.ids[start]] not in part)
+        for part in pieces:
             inside = set(part)
             first = part[0]
             if at is not None:
@@ -107,7 +113,8 @@ def plan(nodes: DataFrame, edges: DataFrame, requests: DataFrame, all_components
     The largest component of an area is planned; with ``all_components`` each
     one, in order of its smallest node. Its chains are contracted, odd nodes
     matched, every piece walked in a closed walk that starts near the end of
-    the last one, and the walk cut by the cap. One grouped call for TOGETHER
+    the last one, and the walk cut by the cap. With a start the first run leaves
+    from the node nearest to it, in whichever zone or piece that is. One grouped call for TOGETHER
     requests of an area; the walks are written to the shared folder, so that
     nothing is solved twice, and what comes after is joins, windows and sums.
 

@@ -118,3 +118,24 @@ def test_each_request_is_solved_once(spark, tmp_path, monkeypatch):
     assert p.stats.where("n_runs > 0 and covered_mi >= bare_mi").count() == 11
     calls = open(mark).read()
     assert len(calls.splitlines()) == 2 and sorted(calls.split()) == [f"q{k:02}" for k in range(11)]
+
+
+def first_point(p):
+    return p.walk.orderBy("run_id", "pos").first().a
+
+
+def test_first_run_leaves_from_the_anchor_of_another_zone(spark):
+    """No street of the start, node 21, is in the zone whose centre is nearest."""
+    name = lambda r, c: str(37 * (10 * r + c) % 100)
+    at = lambda r, c: (40.70 + r * 0.0036, -74.02 + c * 0.0052)
+    cells = [(r, c) for r in range(10) for c in range(10)]
+    links = [(name(r, c), name(r, c + 1), 0.27 * MI) for r, c in cells if c < 9] + [(name(r, c), name(r + 1, c), 0.25 * MI) for r, c in cells if r < 9]
+    nodes, edges = graph.make_graph(spark, [(name(*x), *at(*x)) for x in cells], links)
+    p = plan(nodes, edges, request(spark, "g", 1.5 * MI, *at(3, 3), cluster=True))
+    assert first_point(p) == "21" and missed(p) == 0 and p.stats.first().zones == 5
+
+
+def test_first_run_leaves_from_the_anchor_of_a_later_piece(spark):
+    nodes, edges = graph.make_graph(spark, [(n, 40 + k / 100, -74.0) for k, n in enumerate("abcxy")], [("a", "b", 100), ("b", "c", 100), ("x", "y", 100)])
+    p = plan(nodes, edges, request(spark, "g", lat=40.04, lon=-74.0), all_components=True)
+    assert first_point(p) == "y" and missed(p) == 0
